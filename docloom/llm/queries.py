@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from docloom.llm import group_split
+from docloom.llm import group_split, threads
 from docloom.session import table
 
 QUERIES = {
+    "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),
+    "p4_conversations": lambda s, d: threads.conversations(table(s, d, "history"), table(s, d, "chat_local")),
+    "p4_channel_threads": lambda s, d: threads.channel_threads(table(s, d, "chat_local")),
     "p5_found": lambda s, d: group_split.torn(group_split.related(table(s, d, "documents"))),
     "p5_assign": lambda s, d: group_split.assign(table(s, d, "documents"), table(s, d, "custom_split")),
     "p5_shares": lambda s, d: group_split.shares_report(group_split.assign(table(s, d, "documents"), table(s, d, "custom_split")), table(s, d, "custom_split")),
 }
 
+_SPEAKER = """CASE WHEN lower(trim({0})) IN ('user', 'human', '사용자') THEN 'user' WHEN lower(trim({0})) IN ('assistant', 'ai', 'bot', '어시스턴트') THEN 'assistant'
+  WHEN lower(trim({0})) IN ('system', '시스템') THEN 'system' END"""
+
 ORACLE = {
+    "p4_found": r"""
+WITH m AS (SELECT conv_id, chat_id, c.id, nullif(upper(trim(documentid)), '') doc, content, try_strptime(regexp_replace(chatdate, '[^0-9]', '', 'g')[:14], '%Y%m%d%H%M%S') ts,
+                  coalesce(""" + _SPEAKER.format("role") + ", " + _SPEAKER.format("sender") + r""") who
+           FROM history LEFT JOIN chat_local c ON c.id = chat_id),
+r AS (SELECT conv_id, who, content, ts, min(chat_id) chat_id FROM m WHERE regexp_replace(content, '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g') <> '' GROUP BY ALL),
+u AS (SELECT *, lead(who) OVER w nxt, row_number() OVER w n FROM r WHERE who IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY ts, chat_id))
+SELECT DISTINCT conv_id FROM (
+  SELECT conv_id FROM m GROUP BY 1 HAVING bool_or(id IS NULL) OR count(DISTINCT doc) > 1
+  UNION ALL SELECT conv_id FROM r WHERE who IS NULL
+  UNION ALL SELECT conv_id FROM m WHERE conv_id NOT IN (SELECT conv_id FROM u)
+  UNION ALL SELECT conv_id FROM u WHERE who = 'user' AND coalesce(nxt, 'user') = 'user'
+  UNION ALL SELECT conv_id FROM u WHERE n = 1 AND who <> 'user')""",
     # Components by recursive label spreading over the keys.
     "p5_found": r"""
 WITH RECURSIVE k AS (
