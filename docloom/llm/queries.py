@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import group_split, threads
+from docloom.llm import group_split, lookalike, threads
 from docloom.session import table
 
 QUERIES = {
+    "p1_found": lambda s, d: lookalike.alike_pairs(table(s, d, "documents")),
+    "p1_forms": lambda s, d: lookalike.consistent(table(s, d, "documents")),
+    "p1_report": lambda s, d: lookalike.spelling_report(table(s, d, "documents")),
     "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),
     "p4_conversations": lambda s, d: threads.conversations(table(s, d, "history"), table(s, d, "chat_local")),
     "p4_channel_threads": lambda s, d: threads.channel_threads(table(s, d, "chat_local")),
