@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import group_split, lookalike, threads
+from docloom.llm import group_split, lookalike, threads, truncation
 from docloom.session import table
 
 QUERIES = {
@@ -11,6 +11,9 @@ QUERIES = {
     "p1_report": lambda s, d: lookalike.spelling_report(table(s, d, "documents")),
     "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),
     "p4_conversations": lambda s, d: threads.conversations(table(s, d, "history"), table(s, d, "chat_local")),
+    "p9_found": lambda s, d: truncation.found(table(s, d, "documents")),
+    "p9_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
+    "p9_judged": lambda s, d: truncation.judged(table(s, d, "documents")),
     "p4_channel_threads": lambda s, d: threads.channel_threads(table(s, d, "chat_local")),
     "p5_found": lambda s, d: group_split.torn(group_split.related(table(s, d, "documents"))),
     "p5_assign": lambda s, d: group_split.assign(table(s, d, "documents"), table(s, d, "custom_split")),
