@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import group_split, lookalike, threads, truncation
+from docloom.llm import group_split, lookalike, overlap, threads, truncation
 from docloom.session import table
 
 QUERIES = {
     "p1_found": lambda s, d: lookalike.alike_pairs(table(s, d, "documents")),
     "p1_forms": lambda s, d: lookalike.consistent(table(s, d, "documents")),
     "p1_report": lambda s, d: lookalike.spelling_report(table(s, d, "documents")),
+    "p2_found": lambda s, d: overlap.found(table(s, d, "documents")),
+    "p2_report": lambda s, d: overlap.report(table(s, d, "documents")),
     "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),
     "p4_conversations": lambda s, d: threads.conversations(table(s, d, "history"), table(s, d, "chat_local")),
     "p9_found": lambda s, d: truncation.found(table(s, d, "documents")),
@@ -24,6 +26,8 @@ _SPEAKER = """CASE WHEN lower(trim({0})) IN ('user', 'human', '사용자') THEN
   WHEN lower(trim({0})) IN ('system', '시스템') THEN 'system' END"""
 
 ORACLE = {
+    "p2_found": lambda s, d: overlap.found(table(s, d, "documents")),
+    "p2_report": lambda s, d: overlap.report(table(s, d, "documents")),
     "p4_found": r"""
 WITH m AS (SELECT conv_id, chat_id, c.id, nullif(upper(trim(documentid)), '') doc, content, try_strptime(regexp_replace(chatdate, '[^0-9]', '', 'g')[:14], '%Y%m%d%H%M%S') ts,
                   coalesce(""" + _SPEAKER.format("role") + ", " + _SPEAKER.format("sender") + r""") who
