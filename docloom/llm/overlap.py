@@ -64,7 +64,7 @@ def words_of(text: str) -> list[str]:
         text = HYPHEN.sub("", text)
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text.translate(INVISIBLE))
-        text = STRAY.sub("", text.translate(INVISIBLE))
+        text = STRAY.sub("", text.translate(INVISIBLE)).replace("하여", "해")  # full and contracted verb forms
     elif "-\n" in text:
         text = HYPHEN.sub("", text)
     return WORD.findall(text.lower())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import group_split, lookalike, overlap, threads, truncation
+from docloom.llm import group_split, lookalike, mixing, overlap, packing, threads, truncation
 from docloom.session import table
 
 QUERIES = {
@@ -11,6 +11,10 @@ QUERIES = {
     "p1_report": lambda s, d: lookalike.spelling_report(table(s, d, "documents")),
     "p2_found": lambda s, d: overlap.found(table(s, d, "documents")),
     "p2_report": lambda s, d: overlap.report(table(s, d, "documents")),
+    "p7_pack": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_containers")),
+    "p7_report": lambda s, d: packing.fill_report(table(s, d, "documents"), table(s, d, "pack_containers")),
+    "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),
     "p4_conversations": lambda s, d: threads.conversations(table(s, d, "history"), table(s, d, "chat_local")),
     "p9_found": lambda s, d: truncation.found(table(s, d, "documents")),
@@ -28,6 +32,10 @@ _SPEAKER = """CASE WHEN lower(trim({0})) IN ('user', 'human', '사용자') THEN
 ORACLE = {
     "p2_found": lambda s, d: overlap.found(table(s, d, "documents")),
     "p2_report": lambda s, d: overlap.report(table(s, d, "documents")),
+    "p7_pack": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_containers")),
+    "p7_report": lambda s, d: packing.fill_report(table(s, d, "documents"), table(s, d, "pack_containers")),
+    "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p4_found": r"""
 WITH m AS (SELECT conv_id, chat_id, c.id, nullif(upper(trim(documentid)), '') doc, content, try_strptime(regexp_replace(chatdate, '[^0-9]', '', 'g')[:14], '%Y%m%d%H%M%S') ts,
                   coalesce(""" + _SPEAKER.format("role") + ", " + _SPEAKER.format("sender") + r""") who
