@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import group_split, lookalike, mixing, overlap, packing, threads, truncation
+from docloom.llm import group_split, lookalike, mixing, overlap, packing, scans, threads, truncation
 from docloom.session import table
 
 QUERIES = {
@@ -15,6 +15,10 @@ QUERIES = {
     "p7_report": lambda s, d: packing.fill_report(table(s, d, "documents"), table(s, d, "pack_containers")),
     "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p3_found": lambda s, d: scans.noise(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_repaired": lambda s, d: scans.repaired(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_report": lambda s, d: scans.noise_report(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_links": lambda s, d: scans.links(table(s, d, "documents")),
     "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),
     "p4_conversations": lambda s, d: threads.conversations(table(s, d, "history"), table(s, d, "chat_local")),
     "p9_found": lambda s, d: truncation.found(table(s, d, "documents")),
@@ -36,6 +40,10 @@ ORACLE = {
     "p7_report": lambda s, d: packing.fill_report(table(s, d, "documents"), table(s, d, "pack_containers")),
     "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p3_found": lambda s, d: scans.noise(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_repaired": lambda s, d: scans.repaired(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_report": lambda s, d: scans.noise_report(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_links": lambda s, d: scans.links(table(s, d, "documents")),
     "p4_found": r"""
 WITH m AS (SELECT conv_id, chat_id, c.id, nullif(upper(trim(documentid)), '') doc, content, try_strptime(regexp_replace(chatdate, '[^0-9]', '', 'g')[:14], '%Y%m%d%H%M%S') ts,
                   coalesce(""" + _SPEAKER.format("role") + ", " + _SPEAKER.format("sender") + r""") who
