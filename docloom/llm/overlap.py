@@ -1,17 +1,18 @@
 """Same or near-same records across splits.
 
 Method: a text is a unit vector over shingles of five words, weighted by rarity.  A
-weighted cosine join between the splits finds all pairs of cosine 0.8 or more: each
-vector enters the inverted lists only with its heaviest terms, until the norm of what
-is left falls below the threshold (two vectors that share none of those terms cannot
-reach it, all lists being in one global order); pairs from the lists are pruned by the
-maximum-weight bound min(l1(x) max(y), l1(y) max(x)); the dot products of the rest are
-exact.
-
-Rarity comes from document counts of all texts in a table of 2^20 hash cells, which
-stays 8 MB whatever the corpus (a term's weight is a function of its cell, so the
-cosine is exact for these weights; standard clauses get low weights at any scale).
-Texts equal after normalisation are one vector; copies are expanded only in the end.
+weighted cosine join between the splits finds all pairs of cosine 0.8 or more.  Each
+vector enters the inverted lists with its heaviest terms, in one global order, until
+the norm of what is left is INDEX_SLACK below the threshold.  A pair's products over
+shared listed terms are summed; what the vector whose list ends first can still add is
+at most its residual norm and at most l1(rest) times the other's maximum weight.  Pairs
+whose bound stays below the threshold are pruned, the others get exact dot products.
+
+Rarity comes from document counts of all texts in a table of 2^24 hash cells, one byte
+each once turned into weights: 16 MB whatever the corpus.  A term's weight is a function
+of its cell, so cosines are exact for these weights, and standard clauses weigh little
+at any scale.  Texts equal after normalisation are one vector; copies are expanded only
+in the end.
 
 Results by case: null and blank texts, null splits and other splits take no part; texts
 under five words are one shingle; copies within a split are no pair; ties in weight are
@@ -35,48 +36,57 @@ from docloom.session import written
 
 WORDS = 5
 SIMILARITY = 0.8
-CELLS = 1 << 20
-BLOCK = 1 << 12
+INDEX_SLACK = 0.1
+CELL_BITS = 24
+CELLS = 1 << CELL_BITS
+BLOCK = 1 << 16
+#: Weights are stored in steps of 1/WEIGHT_STEPS.
+WEIGHT_STEPS = 8
 #: Up to so many candidate documents are broadcast as ids (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 
 HYPHEN = re.compile(r"[-‐¬­]\s*\n\s*")
-STRAY = re.compile(r"(?<=\w)[■□�^~|¬­](?=\w)")
-WORD = re.compile(r"\w+")
-INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+INVISIBLE = re.compile("[­​-‍⁠﻿]+")
+NO_WORD = re.compile(r"[\W_]+")
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def word_of(token: str) -> str:
+    """A token's letters and digits in lower case; full and contracted verb forms (하여, 해) are one."""
+    return NO_WORD.sub("", token).lower().replace("하여", "해")
+
+
 class _Hashes(dict):
-    def __missing__(self, word):
+    """Hash of a token's word; 0 for tokens without letters or digits."""
+
+    def __missing__(self, token):
         if len(self) > 1_000_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        word = word_of(token)
+        h = self[token] = xxhash.xxh64_intdigest(word) or 1 if word else 0
         return h
 
 
 _hash = _Hashes()
 
 
-def words_of(text: str) -> list[str]:
-    """Words without differences of character form, layout and scan marks."""
+def hashes_of(text: str) -> np.ndarray:
+    """Hashes of the words, without differences of character form, layout and scan marks."""
+    text = HYPHEN.sub("", text)
     if not text.isascii():
-        text = HYPHEN.sub("", text)
         if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text.translate(INVISIBLE))
-        text = STRAY.sub("", text.translate(INVISIBLE)).replace("하여", "해")  # full and contracted verb forms
-    elif "-\n" in text:
-        text = HYPHEN.sub("", text)
-    return WORD.findall(text.lower())
+            text = unicodedata.normalize("NFKC", text)
+        text = INVISIBLE.sub("", text)
+    h = np.array(list(map(_hash.__getitem__, text.split())), dtype=np.uint64)
+    return h[h != 0]
 
 
 def terms_of(text: str) -> tuple[int, np.ndarray]:
     """(fingerprint of all words, distinct 64-bit terms in ascending order)."""
-    words = words_of(text)
-    fingerprint = xxhash.xxh64_intdigest(" ".join(words)) & ~1
-    h = np.fromiter((_hash[w] for w in words), dtype=np.uint64, count=len(words))
+    h = hashes_of(text)
+    fingerprint = xxhash.xxh64_intdigest(h.tobytes()) & ~1
     if len(h) < WORDS:
-        terms = np.array([fingerprint], dtype=np.uint64) if words else np.array([], dtype=np.uint64)
+        terms = np.array([fingerprint], dtype=np.uint64) if len(h) else np.array([], dtype=np.uint64)
     else:
         n = len(h) - WORDS + 1
         terms = np.zeros(n, dtype=np.uint64)
@@ -90,7 +100,7 @@ def terms_of(text: str) -> tuple[int, np.ndarray]:
 
 
 def _cells(terms: np.ndarray) -> np.ndarray:
-    return (terms >> np.uint64(44)).astype(np.int64)
+    return (terms >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -98,25 +108,30 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _survey(batches):
-    """Rows of documents (doc_id, side, split, source, fingerprint) and, at a task's end, its cell counts in blocks."""
+    """Rows of documents (doc_id, split, source, fingerprint) and, at a task's end, its cell counts in blocks of sparse pairs."""
     counts = np.zeros(CELLS, dtype=np.int32)
     for pdf in batches:
-        prints = np.zeros(len(pdf), dtype=np.uint64)
-        for i, text in enumerate(pdf["text"]):
-            prints[i], terms = terms_of(text)
-            np.add.at(counts, np.unique(_cells(terms)), 1)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "split": pdf["split"], "source": pdf["source"], "fp": _signed(prints), "block": None, "counts": None})
+        pairs = [terms_of(text) for text in pdf["text"]]
+        if pairs:
+            cells = np.concatenate([np.unique(_cells(t)) for _, t in pairs])
+            np.add.at(counts, cells, 1)
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "split": pdf["split"], "source": pdf["source"], "fp": _signed(np.array([p for p, _ in pairs], dtype=np.uint64)), "block": None, "cells": None, "counts": None})
     for b in range(CELLS // BLOCK):
         part = counts[b * BLOCK : (b + 1) * BLOCK]
-        if part.any():
-            yield pd.DataFrame({"doc_id": [None], "split": [None], "source": [None], "fp": [None], "block": [b], "counts": [part.tobytes()]})
+        at = np.flatnonzero(part)
+        if len(at):
+            yield pd.DataFrame({"doc_id": [None], "split": [None], "source": [None], "fp": [None], "block": [b], "cells": [at.astype(np.uint16).tobytes()], "counts": [part[at].tobytes()]})
 
 
-def _add_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BLOCK, dtype=np.int64)
-    for blob in pdf["counts"]:
-        total += np.frombuffer(blob, dtype=np.int32)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.tobytes()]})
+def _weigh_blocks(n_texts):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK, dtype=np.int64)
+        for cells, counts in zip(pdf["cells"], pdf["counts"]):
+            total[np.frombuffer(cells, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.int32)
+        weights = np.clip(np.round(np.log1p(n_texts / np.maximum(1, total)) * WEIGHT_STEPS), 1, 255).astype(np.uint8)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "weights": [weights.tobytes()]})
+
+    return run
 
 
 def vector(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -124,17 +139,27 @@ def vector(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w / np.sqrt(np.dot(w, w))
 
 
-def prefix_length(weights: np.ndarray, similarity: float) -> int:
-    """How many of the descending weights must be indexed so that the norm of the rest is below the similarity."""
+def prefix_length(weights: np.ndarray, below: float) -> int:
+    """How many of the descending weights must be listed so that the norm of the rest is under `below`."""
     rest = np.sqrt(np.maximum(0.0, 1.0 - np.cumsum(weights * weights)))
-    return int(np.argmax(rest < similarity - 1e-9)) + 1
+    rest[-1] = 0.0
+    return int(np.argmax(rest < below)) + 1
+
+
+#: A posting's weight, the rest's norm and l1 norm and the vector's maximum weight, 16 bits each, rounded up.
+UNIT, L1_UNIT = 65_535, 256
+
+
+def packed(w: np.ndarray, rest: float, rest_l1: float, peak: float) -> np.ndarray:
+    up = lambda x, unit: np.minimum(np.ceil(np.asarray(x) * unit + 1e-6), 65_535).astype(np.uint64)
+    return (up(w, UNIT) << np.uint64(48)) | (up(rest, UNIT) << np.uint64(32)) | (up(rest_l1, L1_UNIT) << np.uint64(16)) | up(peak, UNIT)
 
 
 def _postings(table, similarity):
     def run(batches):
-        weight, seen = np.frombuffer(table.value, dtype=np.float32), set()
+        weight, seen = np.frombuffer(table.value, dtype=np.uint8), set()
         for pdf in batches:
-            terms_out, owner, stats = [], [], []
+            terms_out, owner, packs = [], [], []
             for text, dev in zip(pdf["text"], pdf["dev"]):
                 fp, terms = terms_of(text)
                 key = fp | int(dev)
@@ -145,21 +170,21 @@ def _postings(table, similarity):
                 seen.add(key)
                 w = vector(terms, weight)
                 order = np.lexsort((terms, -w))
-                keep = order[: prefix_length(w[order], similarity)]
-                terms_out.append(terms[keep])
-                owner.append(np.full(len(keep), key, dtype=np.uint64))
-                stats.append((key, float(w.sum()), float(w.max())))
+                sorted_w = w[order]
+                k = prefix_length(sorted_w, similarity - INDEX_SLACK)
+                tail = sorted_w[k:]
+                terms_out.append(terms[order[:k]])
+                owner.append(np.full(k, key, dtype=np.uint64))
+                packs.append(packed(sorted_w[:k], float(np.sqrt(np.dot(tail, tail))), float(tail.sum()), float(sorted_w[0])))
             if terms_out:
-                yield pd.DataFrame({"term": _signed(np.concatenate(terms_out)), "owner": _signed(np.concatenate(owner)), "l1": np.nan, "peak": np.nan})
-                s = pd.DataFrame(stats, columns=["owner", "l1", "peak"])
-                yield pd.DataFrame({"term": None, "owner": _signed(s["owner"].to_numpy(dtype=np.uint64)), "l1": s["l1"], "peak": s["peak"]}).astype({"term": "Int64"})
+                yield pd.DataFrame({"term": _signed(np.concatenate(terms_out)), "owner": _signed(np.concatenate(owner)), "pack": _signed(np.concatenate(packs))})
 
     return run
 
 
 def _vectors(table):
     def run(batches):
-        weight = np.frombuffer(table.value, dtype=np.float32)
+        weight = np.frombuffer(table.value, dtype=np.uint8)
         for pdf in batches:
             terms = [terms_of(t)[1] for t in pdf["text"]]
             yield pd.DataFrame({"fp": pdf["fp"], "terms": [_signed(t).tobytes() for t in terms], "weights": [vector(t, weight).tobytes() for t in terms]})
@@ -181,25 +206,26 @@ def similar_texts(documents: DataFrame, similarity: float = SIMILARITY) -> tuple
     """(members, pairs): doc_id, split, source, fp of every text taking part; fa (DEV), fb (evaluation), cosine of similar texts."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text", "source", split_name(F.col("split")).alias("split")).where(F.col("split").isin(*SPLITS) & (F.length(F.trim("text")) > 0))
-    surveyed = written(texts.mapInPandas(_survey, "doc_id long, split string, source string, fp long, block int, counts binary"), "survey")
+    surveyed = written(texts.mapInPandas(_survey, "doc_id long, split string, source string, fp long, block int, cells binary, counts binary"), "survey")
     members = surveyed.where("block is null").select("doc_id", "split", "source", "fp")
-    blocks = surveyed.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_add_blocks, "block int, counts binary").collect()
-    counts = np.zeros(CELLS, dtype=np.int64)  # 256 blocks of 32 KB at most
-    for r in blocks:
-        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], dtype=np.int64)
     n = max(1, members.count())
-    table = spark.sparkContext.broadcast(np.log1p(n / np.maximum(1, counts)).astype(np.float32).tobytes())  # 4 MB
-
-    lists = written(texts.select("text", (F.col("split") == SPLITS[0]).alias("dev")).mapInPandas(_postings(table, similarity), "term long, owner long, l1 double, peak double"), "postings")
-    posts = lists.where("term is not null")
-    # The owner's lowest bit is its side: 1 for DEV.
-    a = posts.where("owner & 1 = 1").select("term", F.expr("owner & ~1L").alias("fa"))
-    b = posts.where("owner & 1 = 0").select("term", F.col("owner").alias("fb"))
-    met = a.join(b, "term").where("fa <> fb").groupBy("fa", "fb").agg(F.count("*").alias("shared"))
-    stats = lists.where("term is null").groupBy("owner").agg(F.first("l1").alias("l1"), F.first("peak").alias("peak"))
-    sa = stats.where("owner & 1 = 1").select(F.expr("owner & ~1L").alias("fa"), F.col("l1").alias("la"), F.col("peak").alias("pa"))
-    sb = stats.where("owner & 1 = 0").select(F.col("owner").alias("fb"), F.col("l1").alias("lb"), F.col("peak").alias("pb"))
-    pairs = written(met.join(sa, "fa").join(sb, "fb").where(F.least(F.col("la") * F.col("pb"), F.col("lb") * F.col("pa")) >= similarity - 1e-9).select("fa", "fb"), "candidates")
+    blocks = surveyed.where("block is not null").select("block", "cells", "counts").groupBy("block").applyInPandas(_weigh_blocks(n), "block int, weights binary")
+    weights = np.full(CELLS, 255, dtype=np.uint8)
+    for r in blocks.toLocalIterator():  # 256 blocks of 64 KB at most
+        weights[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["weights"], dtype=np.uint8)
+    table = spark.sparkContext.broadcast(weights.tobytes())  # 16 MB
+
+    posts = written(texts.select("text", (F.col("split") == SPLITS[0]).alias("dev")).mapInPandas(_postings(table, similarity), "term long, owner long, pack long"), "postings")
+    # The owner's lowest bit is its side: 1 for DEV.  Copies in several tasks list a vector again; a term counts once.
+    a = posts.where("owner & 1 = 1").select("term", F.expr("owner & ~1L").alias("fa"), F.col("pack").alias("xa"))
+    b = posts.where("owner & 1 = 0").select("term", F.col("owner").alias("fb"), F.col("pack").alias("xb"))
+    part = lambda x, shift: f"(shiftright({x}, {shift}) & 65535L)"
+    met = a.repartition("term").distinct().join(b.repartition("term").distinct(), "term").where("fa <> fb").groupBy("fa", "fb").agg(
+        F.expr(f"sum({part('xa', 48)} * {part('xb', 48)})").alias("dot"),
+        *[F.expr(f"max({part('x' + side, shift)})").alias(name + side) for side in "ab" for name, shift in (("rest_", 32), ("l1_", 16), ("peak_", 0))])
+    norm, u = lambda c: F.col(c) / UNIT, L1_UNIT
+    more = F.greatest(F.least(norm("rest_a"), F.col("l1_a") / u * norm("peak_b")), F.least(norm("rest_b"), F.col("l1_b") / u * norm("peak_a")))
+    pairs = written(met.where(F.col("dot") / (UNIT * UNIT) + more >= similarity).select("fa", "fb"), "candidates")
 
     wanted = pairs.select(F.col("fa").alias("fp")).unionByName(pairs.select(F.col("fb").alias("fp"))).distinct()
     reps = written(members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "representatives")
