@@ -128,7 +128,7 @@ class CentroidIndex:
 
     SAMPLE = 50_000
 
-    def __init__(self, vectors: DataFrame, lists: int = 24, probes: int = 8, seed: int = 7):
+    def __init__(self, vectors: DataFrame, lists: int = 32, probes: int = 20, seed: int = 7):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
