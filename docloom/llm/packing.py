@@ -157,6 +157,6 @@ def pack(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY) ->
 def fill_report(documents: DataFrame, containers: DataFrame, **options) -> DataFrame:
     """Per kind: containers used, tokens held and the share of room that is filled."""
     per = pack(documents, containers, **options).groupBy("container_kind").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    return containers.join(per, "container_kind", "left").select(
+    return containers.select("container_kind", "capacity_tokens").join(per, "container_kind", "left").select(
         "container_kind", "capacity_tokens", F.coalesce("n_containers", F.lit(0)).alias("n_containers"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("filled"))
