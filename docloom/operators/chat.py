@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from docloom.functions.text import strip
 from docloom.session import canonical_id
 
+ANSWER = StructType([StructField("answer", StringType()), StructField("abstained", BooleanType()), StructField("sources", StringType()), StructField("parse_ok", BooleanType())])
+
 
 def chat_time(col):
     """Any of the stored date formats as a timestamp; null for others."""
@@ -80,7 +83,7 @@ def without_thinking(col):
     return strip(F.regexp_replace(text, r"(?s)<think>.*$", ""))
 
 
-@F.pandas_udf("answer string, abstained boolean, sources string, parse_ok boolean")
+@F.pandas_udf(ANSWER)
 def parse_answer(texts: pd.Series) -> pd.DataFrame:
     """The answer object of a model's output: the whole text as JSON, else its last complete object, else the text itself."""
     decoder, rows = json.JSONDecoder(), []
