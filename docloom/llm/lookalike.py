@@ -206,15 +206,15 @@ def spellings(values: DataFrame) -> DataFrame:
 
 def canonical_values(values: DataFrame) -> DataFrame:
     """values(value, distinct) -> (value, form): every value in consistent characters."""
-    values = written(values, "values")
+    values = written(values.select("value", F.sha2("value", 256).alias("value_key")), "values")
     known = written(spellings(values), "spellings").select("token", "spelling")
-    words = values.select("value", F.posexplode(_tokens(F.col("value"))).alias("pos", "token"))
+    words = values.select("value_key", F.explode(F.array_distinct(_tokens(F.col("value")))).alias("token"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    words = words.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    changed = words.join(known.select("token", "spelling", salts), ["token", "salt"]).groupBy("value").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "spelling")))).alias("map"))
+    words = words.withColumn("salt", F.pmod(F.xxhash64("value_key"), F.lit(SALTS)).cast("int"))
+    changed = words.join(known.select("token", "spelling", salts), ["token", "salt"]).groupBy("value_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("map"))
     put = F.array_join(F.transform(_tokens(F.col("value")), lambda t: F.coalesce(F.try_element_at("map", t), t)), " ")
-    return values.join(changed, "value", "left").select("value", put.alias("form"))
+    return values.join(changed, "value_key", "left").select("value", put.alias("form"))
 
 
 def _long(documents: DataFrame) -> DataFrame:
