@@ -1,6 +1,7 @@
 """Same or near-same records across splits.
 
-Method: a text is a unit vector over shingles of five words, weighted by rarity.  A
+Method: a text is a unit vector over shingles of five words, weighted by rarity and
+damped frequency.  A
 weighted cosine join between the splits finds all pairs of cosine 0.8 or more.  Each
 vector enters the inverted lists with its heaviest terms, in one global order, until
 the norm of what is left is INDEX_SLACK below the threshold.  A pair's products over
@@ -81,8 +82,8 @@ def hashes_of(text: str) -> np.ndarray:
     return h[h != 0]
 
 
-def terms_of(text: str) -> tuple[int, np.ndarray]:
-    """(fingerprint of all words, distinct 64-bit terms in ascending order)."""
+def terms_of(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint of all words, distinct 64-bit terms in ascending order, how often each occurs)."""
     h = hashes_of(text)
     fingerprint = xxhash.xxh64_intdigest(h.tobytes()) & ~1
     if len(h) < WORDS:
@@ -95,8 +96,8 @@ def terms_of(text: str) -> tuple[int, np.ndarray]:
         terms ^= terms >> np.uint64(31)
         terms *= np.uint64(0xBF58476D1CE4E5B9)
         terms ^= terms >> np.uint64(29)
-        terms = np.unique(terms)
-    return fingerprint, terms
+    terms, times = np.unique(terms, return_counts=True)
+    return fingerprint, terms, times
 
 
 def _cells(terms: np.ndarray) -> np.ndarray:
@@ -113,9 +114,9 @@ def _survey(batches):
     for pdf in batches:
         pairs = [terms_of(text) for text in pdf["text"]]
         if pairs:
-            cells = np.concatenate([np.unique(_cells(t)) for _, t in pairs])
+            cells = np.concatenate([np.unique(_cells(t)) for _, t, _ in pairs])
             np.add.at(counts, cells, 1)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "split": pdf["split"], "source": pdf["source"], "fp": _signed(np.array([p for p, _ in pairs], dtype=np.uint64)), "block": None, "cells": None, "counts": None})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "split": pdf["split"], "source": pdf["source"], "fp": _signed(np.array([p for p, _, _ in pairs], dtype=np.uint64)), "block": None, "cells": None, "counts": None})
     for b in range(CELLS // BLOCK):
         part = counts[b * BLOCK : (b + 1) * BLOCK]
         at = np.flatnonzero(part)
@@ -134,8 +135,9 @@ def _weigh_blocks(n_texts):
     return run
 
 
-def vector(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    w = weight[_cells(terms)].astype(np.float64)
+def vector(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Unit vector of rarity times damped frequency."""
+    w = weight[_cells(terms)] * (1.0 + np.log(times))
     return w / np.sqrt(np.dot(w, w))
 
 
@@ -161,14 +163,14 @@ def _postings(table, similarity):
         for pdf in batches:
             terms_out, owner, packs = [], [], []
             for text, dev in zip(pdf["text"], pdf["dev"]):
-                fp, terms = terms_of(text)
+                fp, terms, times = terms_of(text)
                 key = fp | int(dev)
                 if not len(terms) or key in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-                w = vector(terms, weight)
+                w = vector(terms, times, weight)
                 order = np.lexsort((terms, -w))
                 sorted_w = w[order]
                 k = prefix_length(sorted_w, similarity - INDEX_SLACK)
@@ -186,8 +188,8 @@ def _vectors(table):
     def run(batches):
         weight = np.frombuffer(table.value, dtype=np.uint8)
         for pdf in batches:
-            terms = [terms_of(t)[1] for t in pdf["text"]]
-            yield pd.DataFrame({"fp": pdf["fp"], "terms": [_signed(t).tobytes() for t in terms], "weights": [vector(t, weight).tobytes() for t in terms]})
+            found = [terms_of(t) for t in pdf["text"]]
+            yield pd.DataFrame({"fp": pdf["fp"], "terms": [_signed(t).tobytes() for _, t, _ in found], "weights": [vector(t, k, weight).tobytes() for _, t, k in found]})
 
     return run
 
