@@ -25,38 +25,43 @@ def _fail(df: DataFrame, name: str, record, condition) -> DataFrame:
     return df.where(condition).select(F.lit(name).alias("check_name"), record.cast("string").alias("record_id"))
 
 
+def _each(df: DataFrame, record, checks: dict) -> DataFrame:
+    """All checks of one kind of row in one pass."""
+    names = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in checks.items()]))
+    return df.select(F.explode(names).alias("check_name"), record.cast("string").alias("record_id"))
+
+
 def failures(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All broken checks of the three tables: ids, labels, duplicates, order, references, spans, coverage, sealed split."""
+    """All broken checks of the three tables: ids, labels, duplicates, order, references, spans, coverage, sealed split.
+
+    Each table is passed once for the checks of its rows and once for those against the
+    documents; only chunks, whose spans are compared, meet the documents' texts.
+    """
     doc, block, chunk = F.col("document_id"), F.col("block_id"), F.col("chunk_id")
-    docs = documents.select(canonical_id(doc).alias("dk"), F.length("text").alias("n_text"), F.col("text").alias("doc_text"))
-    docs = docs.where("dk is not null").groupBy("dk").agg(F.min_by(F.struct("n_text", "doc_text"), "n_text").alias("d"))
+    keyed = documents.where("document_id is not null").select(canonical_id(doc).alias("dk"), F.length("text").alias("n_text"), F.col("text").alias("doc_text"))
+    texts = keyed.groupBy("dk").agg(F.min("n_text").alias("n_text"), F.min_by("doc_text", "n_text").alias("doc_text"))
+    sizes = keyed.groupBy("dk").agg(F.min("n_text").alias("n_text"), F.lit(True).alias("known"))
+    width = F.col("char_end") - F.col("char_start")
     out = [
-        _fail(documents, "document.id_missing", F.col("doc_id"), doc.isNull() | (F.trim(doc) == "")),
-        _fail(documents, "document.file_type", doc, ~F.upper(F.trim("file_type")).isin(*FILE_TYPES)),
-        _fail(documents, "document.text_length", doc, F.length("text") != F.col("n_chars")),
-        _fail(blocks, "block.block_type", block, ~F.col("block_type").isin(*BLOCK_TYPES)),
-        _fail(blocks, "block.sealed_split", block, canonical_id(F.col("split")) == SEALED),
-        _fail(chunks, "chunk.sealed_split", chunk, canonical_id(F.col("split")) == SEALED),
-        _fail(blocks, "block.span_negative", block, (F.col("char_start") < 0) | (F.col("char_end") < F.col("char_start"))),
-        _fail(chunks, "chunk.span_grid", chunk, (F.col("char_start") % 1000 != 0) | (F.col("char_start") != F.col("chunk_index") * 1000) | (F.col("char_end") - F.col("char_start") > 1200)),
-        _fail(chunks, "chunk.text_length", chunk, F.length("text") != F.col("char_end") - F.col("char_start")),
-        _fail(chunks, "chunk.no_blocks", chunk, F.coalesce(F.size("block_ids"), F.lit(0)) <= 0),
-        _fail(chunks, "chunk.page_order", chunk, F.col("page_start") > F.col("page_end")),
-    ]
+        _each(documents, F.coalesce(doc, F.col("doc_id").cast("string")), {
+            "document.id_missing": doc.isNull() | (F.trim(doc) == ""), "document.file_type": ~F.upper(F.trim("file_type")).isin(*FILE_TYPES), "document.text_length": F.length("text") != F.col("n_chars")}),
+        _each(blocks, block, {
+            "block.block_type": ~F.col("block_type").isin(*BLOCK_TYPES), "block.sealed_split": canonical_id(F.col("split")) == SEALED, "block.span_negative": (F.col("char_start") < 0) | (width < 0)}),
+        _each(chunks, chunk, {
+            "chunk.sealed_split": canonical_id(F.col("split")) == SEALED, "chunk.span_grid": (F.col("char_start") % 1000 != 0) | (F.col("char_start") != F.col("chunk_index") * 1000) | (width > 1200),
+            "chunk.text_length": F.length("text") != width, "chunk.no_blocks": F.coalesce(F.size("block_ids"), F.lit(0)) <= 0, "chunk.page_order": F.col("page_start") > F.col("page_end")}),
+        _each(blocks.where(doc.isNotNull()).withColumn("dk", canonical_id(doc)).join(sizes, "dk", "left"), block, {
+            "block.document_unknown": F.col("known").isNull(), "block.span_outside": F.col("char_end") > F.col("n_text")}),
+        _each(chunks.where(doc.isNotNull()).withColumn("dk", canonical_id(doc)).join(texts.withColumn("known", F.lit(True)), "dk", "left"), chunk, {
+            "chunk.document_unknown": F.col("known").isNull(), "chunk.span_outside": F.col("char_end") > F.col("n_text"),
+            "chunk.span_text": (F.col("char_end") <= F.col("n_text")) & (F.col("doc_text").substr(F.col("char_start") + 1, width) != F.col("text"))}),
+    ]
     for df, name, key in ((documents, "document", doc), (blocks, "block", block), (chunks, "chunk", chunk)):
         twice = df.where(key.isNotNull()).groupBy(canonical_id(key).alias("k")).agg(F.count("*").alias("n"))
         out.append(_fail(twice, f"{name}.id_repeated", F.col("k"), F.col("n") > 1))
-    for df, name, key in ((blocks, "block", block), (chunks, "chunk", chunk)):
-        own = df.where(doc.isNotNull()).withColumn("dk", canonical_id(doc))
-        out.append(_fail(own.join(docs.select("dk"), "dk", "left_anti"), f"{name}.document_unknown", key, F.lit(True)))
-        span = own.join(docs, "dk")
-        out.append(_fail(span, f"{name}.span_outside", key, F.col("char_end") > F.col("d.n_text")))
-    inside = chunks.where(doc.isNotNull()).withColumn("dk", canonical_id(doc)).join(docs, "dk")
-    out.append(_fail(inside, "chunk.span_text", chunk, (F.col("char_end") <= F.col("d.n_text")) & (F.col("d.doc_text").substr(F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text"))))
     refs = chunks.select("chunk_id", canonical_id(doc).alias("dk"), F.explode("block_ids").alias("b")).where("b is not null").withColumn("bk", canonical_id(F.col("b")))
-    known = blocks.where("block_id is not null").groupBy(canonical_id(block).alias("bk")).agg(F.min(canonical_id(doc)).alias("owner"))
-    out.append(_fail(refs.join(known.select("bk"), "bk", "left_anti"), "chunk.block_unknown", F.col("chunk_id"), F.lit(True)))
-    out.append(_fail(refs.join(known, "bk"), "chunk.block_of_other_document", F.col("chunk_id"), F.col("owner") != F.col("dk")))
+    owners = blocks.where("block_id is not null").groupBy(canonical_id(block).alias("bk")).agg(F.min(canonical_id(doc)).alias("owner"), F.lit(True).alias("known"))
+    out.append(_each(refs.join(owners, "bk", "left"), chunk, {"chunk.block_unknown": F.col("known").isNull(), "chunk.block_of_other_document": F.col("owner") != F.col("dk")}))
     w = W.partitionBy("dk").orderBy("chunk_index", "chunk_id", "ingested_at")
     ordered = chunks.where(doc.isNotNull()).withColumn("dk", canonical_id(doc)).withColumn("previous", F.lag("chunk_index").over(w))
     out.append(_fail(ordered, "chunk.index_gap", chunk, F.col("chunk_index") - F.coalesce("previous", F.lit(-1)) > 1))

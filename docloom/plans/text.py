@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.session import table
 
-AT = F.unix_micros("ingested_at").alias("at_us")
+
+def _at():
+    return F.unix_micros("ingested_at").alias("at_us")
 
 
 def _normalized(s, d):
-    return table(s, d, "blocks").select("block_id", AT, T.normalize(F.col("text_raw")).alias("text"))
+    return table(s, d, "blocks").select("block_id", _at(), T.normalize(F.col("text_raw")).alias("text"))
 
 
 def _audited(s, d):
@@ -22,20 +24,20 @@ def _audited(s, d):
 def _labels(s, d):
     b = table(s, d, "blocks").where("text_normalized is not null")
     t = F.col("text_normalized")
-    return b.select("block_id", AT, T.element_class(t).alias("element_class"), T.section_level(t).alias("level"), T.noise_label(t).alias("noise_label"), T.is_heading(t).alias("is_heading"), T.preview(t).alias("preview"))
+    return b.select("block_id", _at(), T.element_class(t).alias("element_class"), T.section_level(t).alias("level"), T.noise_label(t).alias("noise_label"), T.is_heading(t).alias("is_heading"), T.preview(t).alias("preview"))
 
 
 def _roles(s, d):
     b = table(s, d, "blocks").where("text_normalized is not null")
     ids = F.coalesce("requirement_ids", F.array().cast("array<string>"))
     hwp = F.coalesce(F.col("parser_version").like("%hwp%"), F.lit(False))
-    return b.select("block_id", AT, T.semantic_role(F.col("text_normalized"), F.coalesce("section_path", F.array().cast("array<string>")), ids).alias("role"),
+    return b.select("block_id", _at(), T.semantic_role(F.col("text_normalized"), F.coalesce("section_path", F.array().cast("array<string>")), ids).alias("role"),
                     T.block_type(F.col("text_normalized"), ids, hwp, F.col("block_type") == "TABLE").alias("kind"))
 
 
 def _requirements(s, d):
     b = table(s, d, "blocks").where("text_normalized is not null")
-    return b.select("block_id", AT, F.array_join(T.requirement_ids("text_normalized"), ",").alias("ids"))
+    return b.select("block_id", _at(), F.array_join(T.requirement_ids("text_normalized"), ",").alias("ids"))
 
 
 def _keys(s, d):
@@ -54,7 +56,7 @@ def _retrieval_text(s, d):
     key = lambda x: F.upper(F.trim(x))
     meta = docs.groupBy(key("document_id").alias("k")).agg(F.min("title").alias("title"), F.min("agency").alias("agency"))
     out = T.retrieval_text(F.col("title"), F.col("agency"), F.col("section_path"), F.col("text"))
-    return c.join(meta, key(F.col("document_id")) == F.col("k"), "left").select("chunk_id", AT, F.sha2(out, 256).alias("retrieval_hash"), F.length(out).alias("n_chars"))
+    return c.join(meta, key(F.col("document_id")) == F.col("k"), "left").select("chunk_id", _at(), F.sha2(out, 256).alias("retrieval_hash"), F.length(out).alias("n_chars"))
 
 
 QUERIES = {

@@ -164,3 +164,28 @@ def test_token_stream_folds_once(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "frames"))
     got = streams.run_available(streams.fold_tokens(stream), "folded", str(tmp_path / "state")).collect()
     assert [(r["key"], r["text"]) for r in got] == [("a", "가 나")]
+
+
+def test_boxes_and_containment(spark):
+    from docloom.operators import evidence as E
+
+    box = "page int, id int, x0 double, y0 double, x1 double, y1 double"
+    inner = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 0.0, 0.0, 10.0, 10.0 * 3), (2, 3, 0.0, 0.0, 10.0, 10.0)], box)
+    outer = spark.createDataFrame([(1, 9, 0.0, 0.0, 10.0, 12.0)], box)
+    assert {r["id"] for r in E.overlap_kept(inner, outer).collect()} == {2, 3}
+    ev = spark.createDataFrame([(1, "D", "가 나-다!"), (2, "E", "가나다"), (3, "D", " ")], "evidence_id int, scope string, text string")
+    ch = spark.createDataFrame([("c", "D", "앞 가나 다 뒤"), ("x", "E", None)], "chunk_id string, scope string, text string")
+    assert [tuple(r) for r in E.containment(ev, ch).collect()] == [(1, "c")]
+
+
+def test_loss_of_the_optional_subpackage(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'p6_found' in q, 'p1_found' in q, set(e.oracle_sql()) <= set(q))"], cwd=copy, capture_output=True, text=True)
+    assert got.stdout.split()[1:] == ["True", "False", "True"], got.stderr
