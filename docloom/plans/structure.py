@@ -121,13 +121,20 @@ WITH p AS (SELECT doc_id, i - 1 order_index, t FROM (SELECT doc_id, string_split
 r AS (SELECT doc_id, order_index, j - 1 AS "row", line FROM (SELECT doc_id, order_index, list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^[\s|:-]+$')) l FROM p
       WHERE trim(t) <> '' AND len(list_filter(string_split(t, chr(10)), lambda x: NOT contains(x, '|'))) = 0), unnest(l) WITH ORDINALITY u(line, j))
 SELECT doc_id, order_index, "row", k - 1 AS col, trim(cell) AS cell FROM r, unnest(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')) WITH ORDINALITY u(cell, k)""",
+    "heading_stack": rf"""
+WITH {_P}, s AS (SELECT doc_id, block_index, t, regexp_replace(t, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') x FROM b),
+ll AS (SELECT *, CASE WHEN length(x) <= 120 AND regexp_matches(x, '{T.ELEMENT_HEADING}') THEN CASE WHEN regexp_matches(x, '^(?:제?\s*[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|제?\s*\d+\s*장)') THEN 1
+      WHEN regexp_matches(x, '^\d') THEN least(4, length(regexp_replace(regexp_extract(x, '^(\d+(?:\.\d+)*)', 1), '[^.]', '', 'g')) + 2) ELSE 2 END END v FROM s),
+oo AS (SELECT doc_id, block_index, {", ".join(f"last_value(CASE WHEN v = {n} THEN t END IGNORE NULLS) OVER w t{n}, max(CASE WHEN v = {n} THEN block_index END) OVER w i{n}, coalesce(max(CASE WHEN v < {n} THEN block_index END) OVER w, -1) c{n}" for n in range(1, 5))}
+      FROM ll WINDOW w AS (PARTITION BY doc_id ORDER BY block_index ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, block_index, array_to_string(list_filter([{", ".join(f"CASE WHEN i{n} > c{n} THEN t{n} END" for n in range(1, 5))}], lambda x: x IS NOT NULL), ' > ') AS path FROM oo""",
     "token_pieces": r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') k FROM documents),
 s AS (SELECT doc_id, k, unnest(generate_series(0, len(k) - 1, 185)) st FROM t WHERE len(k) > 0)
 SELECT doc_id, CAST(st / 185 AS INT) AS piece, st AS start, least(200, len(k) - st) AS n_tokens, k[st + 1] AS first_token FROM s WHERE st = 0 OR st + 15 < len(k)""",
     "page_segments": r"""
 WITH l AS (SELECT doc_id, i line_no, line FROM (SELECT doc_id, string_split(text_raw, chr(10)) x FROM documents WHERE length(text_raw) > 0), unnest(x) WITH ORDINALITY u(line, i) WHERE trim(line) <> ''),
-f AS (SELECT *, coalesce(suffix(trim(lag(line) OVER w), '.') AND (regexp_matches(trim(line), '^-\s*\d+\s*-$') OR length(line) >= 75 AND (length(line) - length(regexp_replace(line, '\s', '', 'g'))) / length(line) < 0.20), false)::INT s FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+f AS (SELECT *, coalesce(suffix(trim(lag(line) OVER w), '.') AND (regexp_matches(trim(line), '^-\s*\d+\s*-$') OR length(line) >= 75 AND (length(line) - length(regexp_replace(line, '\s', '', 'g'))) / length(line) < 0.20), false)::INT s FROM ll WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 g AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) segment FROM f)
 SELECT doc_id, segment, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS n_chars FROM g GROUP BY 1, 2""",
     "table_neighbours": """
