@@ -34,16 +34,6 @@ _SPEAKER = """CASE WHEN lower(trim({0})) IN ('user', 'human', '사용자') THEN
   WHEN lower(trim({0})) IN ('system', '시스템') THEN 'system' END"""
 
 ORACLE = {
-    "p2_found": lambda s, d: overlap.found(table(s, d, "documents")),
-    "p2_report": lambda s, d: overlap.report(table(s, d, "documents")),
-    "p7_pack": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_containers")),
-    "p7_report": lambda s, d: packing.fill_report(table(s, d, "documents"), table(s, d, "pack_containers")),
-    "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
-    "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
-    "p3_found": lambda s, d: scans.noise(table(s, d, "documents"), table(s, d, "blocks")),
-    "p3_repaired": lambda s, d: scans.repaired(table(s, d, "documents"), table(s, d, "blocks")),
-    "p3_report": lambda s, d: scans.noise_report(table(s, d, "documents"), table(s, d, "blocks")),
-    "p3_links": lambda s, d: scans.links(table(s, d, "documents")),
     "p4_found": r"""
 WITH m AS (SELECT conv_id, chat_id, c.id, nullif(upper(trim(documentid)), '') doc, content, try_strptime(regexp_replace(chatdate, '[^0-9]', '', 'g')[:14], '%Y%m%d%H%M%S') ts,
                   coalesce(""" + _SPEAKER.format("role") + ", " + _SPEAKER.format("sender") + r""") who
