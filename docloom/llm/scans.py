@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.lookalike import TABLE
+from docloom.llm.truncation import MARK
 from docloom.session import canonical_id, written
 
 BITS = 1 << 22
@@ -84,9 +85,11 @@ _word = _Words()
 
 
 def words_of(text: str) -> list[str]:
-    """Words of a text in order, divided words joined; the text's last word is left out as it may be cut."""
-    joined = SPLIT_WORD.sub("", text)
-    return [_word[t] for t in joined.split()[:-1]]
+    """Words of a text in order, divided words joined; the last one is left out where a mark shows that it is cut."""
+    tokens = SPLIT_WORD.sub("", text).split()
+    if MARK.search(text[-80:].rstrip()):
+        tokens.pop()
+    return [_word[t] for t in tokens]
 
 
 def _bit(word: str) -> int:
@@ -177,9 +180,9 @@ def glyph_links(counts: DataFrame) -> DataFrame:
     """(rare, common, n_rare, n_common) with one plausible glyph edit between them."""
     keyed = counts.mapInPandas(_patterns, "pattern string, word string, n long")
     rare = keyed.select("pattern", F.col("word").alias("rare"), F.col("n").alias("n_rare"))
-    # Of each pattern the most frequent words can be what is meant; a word is rare against one of them only.
-    best = keyed.where(F.col("n") >= FREQUENT).groupBy("pattern").agg(F.max(F.struct("n", "word")).alias("top")).select("pattern", F.col("top.word").alias("common"), F.col("top.n").alias("n_common"))
-    return rare.join(best, "pattern").where((F.col("rare") != F.col("common")) & (F.col("n_rare") * RATIO <= F.col("n_common"))).select("rare", "common", "n_rare", "n_common").distinct().mapInPandas(
+    # A pattern fixes all units but one, so the alphabet bounds its words however large the data are: each is compared with all frequent ones.
+    common = keyed.where(F.col("n") >= FREQUENT).select("pattern", F.col("word").alias("common"), F.col("n").alias("n_common"))
+    return rare.join(common, "pattern").where((F.col("rare") != F.col("common")) & (F.col("n_rare") * RATIO <= F.col("n_common"))).select("rare", "common", "n_rare", "n_common").distinct().mapInPandas(
         _plausible, "rare string, common string, n_rare long, n_common long")
 
 

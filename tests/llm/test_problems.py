@@ -110,6 +110,17 @@ def test_p3_plausible_edits():
     assert not scans.plausible("계획은", "계획을을") and not scans.plausible("만족", "사업")
 
 
+def test_p3_every_frequent_word_of_a_pattern_is_tried(spark):
+    counts = spark.createDataFrame([("계획을", 100), ("계획은", 300), ("계획올", 2), ("계획온", 1)], "word string, n long")
+    got = {(r["rare"], r["common"]) for r in scans.glyph_links(counts).collect()}
+    assert got == {("계획올", "계획을"), ("계획온", "계획은")}
+
+
+def test_p3_last_word_is_judged_unless_known_to_be_cut():
+    assert scans.words_of("예산올") == ["예산올"] and scans.words_of("자료를 예산올.") == ["자료를", "예산올"]
+    assert scans.words_of("자료를 예산…") == ["자료를"] and scans.words_of("자료를 예산�") == ["자료를"] and scans.words_of(" ") == []
+
+
 # ---- 4: conversations ----
 
 HISTORY = "history_id long, conv_id long, chat_id long, role string, content string, at int, speaker string"
