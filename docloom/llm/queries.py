@@ -16,7 +16,7 @@ QUERIES = {
     "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p3_found": lambda s, d: scans.noise(table(s, d, "documents"), table(s, d, "blocks")),
-    "p3_repaired": lambda s, d: scans.repaired(table(s, d, "documents"), table(s, d, "blocks")),
+    "p3_repaired": lambda s, d: scans.repaired_records(table(s, d, "documents"), table(s, d, "blocks")),
     "p3_report": lambda s, d: scans.noise_report(table(s, d, "documents"), table(s, d, "blocks")),
     "p3_links": lambda s, d: scans.links(table(s, d, "documents")),
     "p4_found": lambda s, d: threads.broken(table(s, d, "history"), table(s, d, "chat_local")),

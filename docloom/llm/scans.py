@@ -104,7 +104,8 @@ def _count(batches):
         if len(counts) > 500_000:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
             counts = Counter()
-    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+    if counts:  # a task without texts gives no frame: its columns would have no type
+        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
 
 def patterns(word: str) -> list[str]:
@@ -453,23 +454,24 @@ def _with_document(blocks: DataFrame) -> DataFrame:
     return blocks.where("text_normalized is not null").select(F.col("block_id").alias("record_id"), F.col("text_normalized").alias("text"), key.alias("key"))
 
 
-def _detected(documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _detected(documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     known = written(links(documents), "links")
     bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(known.select(F.col("rare").alias("word"))))
     docs = with_headings(documents)
     heads = written(docs.where(F.size("headings") > 0).select(canonical_id(F.col("record_id")).alias("key"), "headings").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("headings"))).alias("headings")), "headings")
     of_docs = docs.mapInPandas(_scan(bitmap, "documents"), NOISE)
-    of_blocks = _with_document(blocks).join(heads, "key", "left").select("record_id", "text", "headings").mapInPandas(_scan(bitmap, "blocks"), NOISE)
+    parts = _with_document(blocks).join(heads, "key", "left").select("record_id", "text", "headings")
+    of_blocks = parts.mapInPandas(_scan(bitmap, "blocks"), NOISE)
     rows = written(of_docs.unionByName(of_blocks), "noise")
     # A real word that merely resembles a frequent one occurs in clean records too.
     where = rows.where("noise_kind is null and table_name = 'documents'").groupBy(F.col("word").alias("rare")).agg(F.count("*").alias("records"), F.avg(F.col("noisy").cast("int")).alias("among"))
     known = written(known.join(where, "rare", "left").where((F.coalesce("records", F.lit(0)) < SPREAD) | (F.col("among") >= AMONG_NOISE)).select(*known.columns), "links")
-    return rows, known, docs
+    return rows, known, docs, parts
 
 
 def noise(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """(table_name, record_id, noise_kind), one row per record and kind."""
-    rows, known, _ = _detected(documents, blocks)
+    rows, known, _, _ = _detected(documents, blocks)
     linked = rows.where("noise_kind is null").join(known.select(F.col("rare").alias("word")), "word").select("table_name", "record_id", F.lit("misread").alias("noise_kind"))
     return rows.where("noise_kind is not null").select("table_name", "record_id", "noise_kind").unionByName(linked).distinct()
 
@@ -518,18 +520,24 @@ def _fixed(token: str, fixes: dict[str, str]) -> str:
     return token.replace(core, "".join(next(digits, c) if c == "0" else c for c in to), 1)
 
 
-def repaired(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(document_id, text) of parsed documents as continuous readable paragraphs."""
-    rows, known, docs = _detected(documents, blocks.limit(0))
-    fixes = rows.where("noise_kind is null").join(known.select(F.col("rare").alias("word"), "common"), "word").groupBy("record_id").agg(
+def repaired_records(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(table_name, record_id, text) of parsed documents and of blocks as continuous readable paragraphs; a block delivered again with another text has a row for each."""
+    rows, known, docs, parts = _detected(documents, blocks)
+    fixes = rows.where("noise_kind is null").join(known.select(F.col("rare").alias("word"), "common"), "word").groupBy("table_name", "record_id").agg(
         F.map_from_entries(F.collect_set(F.struct("word", "common"))).alias("fixes"))
 
     def mend(batches):
         for pdf in batches:
             done = [repaired_text(t, [] if h is None else list(h), dict(f) if f else {}) for t, h, f in zip(pdf["text"], pdf["headings"], pdf["fixes"])]
-            yield pd.DataFrame({"document_id": pdf["record_id"], "text": done})
+            yield pdf[["table_name", "record_id"]].assign(text=done)
+
+    texts = docs.withColumn("table_name", F.lit("documents")).unionByName(parts.dropDuplicates(["record_id", "text"]).withColumn("table_name", F.lit("blocks")))
+    return texts.join(fixes, ["table_name", "record_id"], "left").mapInPandas(mend, "table_name string, record_id string, text string")
 
-    return docs.join(fixes, "record_id", "left").mapInPandas(mend, "document_id string, text string")
+
+def repaired(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document_id, text) of parsed documents alone."""
+    return repaired_records(documents, blocks.limit(0)).select(F.col("record_id").alias("document_id"), "text")
 
 
 def noise_report(documents: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,6 +111,22 @@ def test_p3_plausible_edits():
     assert not scans.plausible("계획은", "계획을을") and not scans.plausible("만족", "사업")
 
 
+def test_p3_blocks_are_repaired_too(spark):
+    from docloom.llm.queries import QUERIES
+
+    clean = "수행사는 예산을 매월 점검하여야 한다. 감독관은 자료를 제출하여야 한다.\n" * 30
+    noisy = "[가온시] 과업내용서\n\n수행사는 예산올 매월 점검하여야 한다.\n\n- 1 -\n\n[가온시] 과업내용서\n\n감독관은 자료를 제출하여야 한다.\n\n- 2 -"
+    documents = spark.createDataFrame([("D", clean, "제목", "다온시"), ("N", noisy, "제목", "가온시")], "document_id string, text_raw string, title string, agency string")
+    parts = ["[가온시] 과업내용서\n수행사는 예산올 매월 점검하여-\n야 한다.\n\n- 1 -", "감독관은 자료를 제출^하여야 한다."]
+    blocks = spark.createDataFrame([(f"N-B{i:05}", None, x) for i, x in enumerate(parts)] + [("N-B00000", "N", parts[0])], "block_id string, document_id string, text_normalized string")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    documents.write.parquet(f"{folder}/documents.parquet")
+    blocks.write.parquet(f"{folder}/blocks.parquet")
+    got = sorted((r["table_name"], r["record_id"], r["text"]) for r in QUERIES["p3_repaired"](spark, folder).collect())
+    assert got[:2] == [("blocks", "N-B00000", "수행사는 예산을 매월 점검하여야 한다."), ("blocks", "N-B00001", "감독관은 자료를 제출하여야 한다.")]
+    assert [x[:2] for x in got[2:]] == [("documents", "D"), ("documents", "N")]
+
+
 def test_p3_every_frequent_word_of_a_pattern_is_tried(spark):
     counts = spark.createDataFrame([("계획을", 100), ("계획은", 300), ("계획올", 2), ("계획온", 1)], "word string, n long")
     got = {(r["rare"], r["common"]) for r in scans.glyph_links(counts).collect()}
