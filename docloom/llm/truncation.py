@@ -33,8 +33,6 @@ SALTS = 8
 HEADING_SHARE = 3e-4
 #: Log-odds from which a text counts as cut.
 CUT_AT = 0.8
-#: Lengths are exact up to here, then in steps of one percent.
-EXACT_TO = 16_384
 
 CLOSED = re.compile(r"[.!?。]['\"”’)\]]*$|[)\]][.]?$")
 #: What a cut leaves behind: ellipses, broken or whole entities and tags, replacement characters.
@@ -190,25 +188,28 @@ def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("length")
     x, n = pdf["length"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float)
     width = 3 if pdf["measure"].iloc[0] == "bytes" else 1  # a byte limit falls within a character
-    total = n.sum()
+    total, up_to = n.sum(), np.append(0.0, np.cumsum(n))
+
+    def span(reach):
+        return np.searchsorted(x, x - reach, "left"), np.searchsorted(x, x + reach, "right")
+
+    (lo, hi), (far_lo, far_hi) = span(width), span(60)
+    seen = up_to[hi] - up_to[lo]
+    local = (up_to[far_hi] - up_to[far_lo] - seen) / 120.0
+    beyond = total - up_to[hi]  # a field limit is hardly ever exceeded
     censored = np.zeros(len(x), bool)
     rows = []
     for _ in range(3):  # candidates change the fit, the fit the candidates
         mu, sd = fit_censored(x, n, censored)
         rows, again = [], np.zeros(len(x), bool)
+        dens = np.exp(-0.5 * ((np.log(x) - mu) / sd) ** 2) / (x * sd * math.sqrt(2 * math.pi))
+        expected = (2 * width + 1) * np.maximum(np.maximum(total * dens, local), 1e-9)
+        fits = (n >= 4) & (beyond <= seen) & (seen >= 4 * expected + 4)
         for i in np.argsort(-n):
-            near = np.abs(x - x[i]) <= width
-            seen = n[near].sum()
-            dens = math.exp(-0.5 * ((math.log(x[i]) - mu) / sd) ** 2) / (x[i] * sd * math.sqrt(2 * math.pi))
-            local = n[(np.abs(x - x[i]) <= 60) & ~near].sum() / 120.0
-            expected = (2 * width + 1) * max(total * dens, local, 1e-9)
-            beyond = n[x > x[i] + width].sum()  # a field limit is hardly ever exceeded
-            if n[i] < 4 or beyond > seen or seen < 4 * expected + 4 or (again & near).any():
-                if n[i] < 4:
-                    break
+            if not fits[i] or again[lo[i] : hi[i]].any():
                 continue
-            again |= near
-            rows.append((pdf["source"].iloc[0], pdf["measure"].iloc[0], int(x[i]), width, float(1 - expected / seen), mu, sd, float(seen)))
+            again[lo[i] : hi[i]] = True
+            rows.append((pdf["source"].iloc[0], pdf["measure"].iloc[0], int(x[i]), width, float(1 - expected[i] / seen[i]), mu, sd, float(seen[i])))
         if (again == censored).all():
             break
         censored = again
@@ -221,8 +222,8 @@ LIMITS = "source string, measure string, limit long, width int, posterior double
 def length_limits(lengths: DataFrame) -> DataFrame:
     """lengths(source, n_chars, n_bytes) -> candidate limits per source and measure."""
     long = lengths.select("source", F.explode(F.create_map(F.lit("chars"), "n_chars", F.lit("bytes"), "n_bytes")).alias("measure", "length")).where("length > 0")
-    step = F.when(F.col("length") <= EXACT_TO, F.col("length")).otherwise(F.floor(F.exp(F.floor(F.log("length") * 100) / 100)).cast("long"))
-    return long.groupBy("source", "measure", step.alias("length")).agg(F.count("*").alias("n")).groupBy("source", "measure").applyInPandas(_limits, LIMITS)
+    # Exact lengths: texts of T bytes in all have at most sqrt(2 T) different ones, so a histogram stays small.
+    return long.groupBy("source", "measure", "length").agg(F.count("*").alias("n")).groupBy("source", "measure").applyInPandas(_limits, LIMITS)
 
 
 def judged(documents: DataFrame) -> DataFrame:

@@ -322,6 +322,16 @@ def test_p9_limits_marks_and_complete_endings(spark):
     assert truncation.found(docs.limit(0)).count() == 0
 
 
+def test_p9_limits_above_16384_are_exact(spark):
+    x = np.exp(np.random.default_rng(1).normal(9.5, 0.4, 600)).astype(int)
+    rows = [("s", int(min(v, 20_000)), int(min(3 * v, 65_535 - v % 3))) for v in x]
+    lengths = spark.createDataFrame(rows, "source string, n_chars long, n_bytes long")
+    got = {r["measure"]: r for r in truncation.length_limits(lengths).collect()}
+    assert got["chars"]["limit"] == 20_000 and got["chars"]["n_at_limit"] == sum(r[1] == 20_000 for r in rows)
+    at = got["bytes"]["limit"]
+    assert 65_533 <= at <= 65_535 and got["bytes"]["n_at_limit"] == sum(65_533 <= r[2] <= 65_535 for r in rows)
+
+
 def test_p9_fit_recovers_a_censored_distribution():
     rng = np.random.default_rng(0)
     x = np.exp(rng.normal(6, 0.7, 20_000)).round()
