@@ -1,18 +1,25 @@
 """Noise in text from scanned pages.
 
-Method: skip-gram vectors are learned from all parsed texts (centred co-occurrence
-counts of words and their neighbours, projected to signed hash dimensions: the
-closed-form counterpart of the matrix that skip-gram training factorises).  Rare words
-are linked to frequent ones that are one plausible glyph edit away and occur in similar
-context; records are corrected through those links, then page furniture is removed and
-lines are reflowed into paragraphs.
-
-Counts, links and vectors are tables joined on words.  Only two bitmaps of fixed size
-are broadcast; they spare work, the joins decide.
+Method: skip-gram vectors are learned from all parsed texts by factorising the positive
+shifted PMI matrix of words and their neighbours, the matrix that skip-gram training
+with negative sampling factorises (Levy and Goldberg 2014): counts and marginals are
+summed in the JVM, neighbours are hashed to CELLS columns, and the eigenvectors of the
+CELLS x CELLS Gram matrix give words and neighbours their vectors.  Rare words are linked
+to frequent ones that are one plausible glyph edit (or a misread number) away and near in
+vector space.  Every occurrence of a linked word is decided by its own context: the
+candidate that its neighbours predict best corrects it, or none.  Which signs are stray
+is learned too: a sign is stray where taking it out of a word mostly leaves a frequent
+word.  Then page furniture is removed and lines are reflowed into paragraphs.
+
+Counts, links, vectors and occurrences are tables joined on words.  A Bloom filter of
+bounded size spares work; the joins decide, so its size never changes a row.  No rule
+depends on a count of its own: frequencies are compared with each other, shares are
+shrunk towards the corpus.
 
 Results by case: null and blank texts have no noise; a text of any length is read
 whole; records delivered again count once; deleted blocks count; a block without
-document takes it from its block_id; empty tables give empty results.
+document takes it from its block_id; an occurrence without neighbours is decided by its
+word's link; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,40 +39,39 @@ from docloom.llm.lookalike import TABLE
 from docloom.llm.truncation import MARK
 from docloom.session import canonical_id, written
 
-BITS = 1 << 22
-DIMENSIONS = 48
+#: Columns of neighbour hashes and dimensions of the vectors.
+CELLS, DIMENSIONS = 512, 48
 WINDOW = 2
-#: A frequent word occurs at least FREQUENT times and RATIO times as often as a rare word linked to it.
-FREQUENT, RATIO = 20, 20
-#: A linked word seen in SPREAD records or more must lie among other noise in this share of them.
-SPREAD, AMONG_NOISE = 4, 0.4
-#: Least cosine between the contexts of linked words.
-CONTEXT = 0.05
+#: A word linked to a rare one is at least so many times as frequent.
+RATIO = 20
+#: Bloom filter: bits per word, and the bits at which it stops to grow (16 MB).
+BITS_PER_WORD, MOST_BITS = 16, 1 << 27
+#: Least share of a linked word's records with other noise, shrunk by SHRINK records towards the share of all.
+AMONG_NOISE, SHRINK = 0.3, 2.0
+#: Least cosine between the vectors of linked words, and least prediction of a word by the neighbours of an occurrence.
+CONTEXT, FIT = 0.05, 0.02
+#: A sign is stray where taking it out leaves a frequent word in this share of its occurrences.
+STRAY_SHARE = 0.5
 
 HYPHENS = "-‐‑¬­"
 SPLIT_WORD = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
 #: A line that ends within a word; the rest may follow after page furniture.
 SPLIT_LINE = re.compile(rf"[^\W\d_][{HYPHENS}]$")
-# Signs that scanning leaves in or at words; ranges like 9~18 and a cut character at the end of a text are none.
-STRAY = re.compile(r"(?<=\w)(?:[■�^|]|~(?!\d))(?=\S)|(?<=[^\s|])(?:[■�^|]|~(?!\d))(?=\w)|(?<=[^\s|])[■^](?=\s|$)|(?<=\s)[■^](?=\w)")
 NUM = r"[\dlIOSBoZ]{1,4}"
 PAGE_LINE = re.compile(
     rf"^\s*(?:[-–—]\s*{NUM}\s*[-–—]|[(〈<\[]\s*{NUM}\s*[)〉>\]]|p\.?\s*{NUM}|page\s*{NUM}(?:\s*(?:/|of)\s*{NUM})?|제\s*{NUM}\s*(?:쪽|면|페이지)|{NUM}\s*(?:쪽|페이지)|{NUM}\s*/\s*{NUM}|\d{{1,4}})\s*$", re.I)
 # A page line with a stray sign or two in it is still one.
-NOISE_SIGNS = re.compile(r"[■�^~|]")
+NOISE_SIGNS = re.compile(r"(?<=\S)[^\w\s.,/:()\[\]<>〈〉–—-]|[^\w\s.,/:()\[\]<>〈〉–—-](?=\S)")
 EDGE = ".,;:!?()[]{}<>〈〉「」『』\"'“”‘’…·"
 MARKED = re.compile(r"^\s*(?:[-–·•*▪◦○●□■◇◆ㅇ※]|[가-하]\.|\d{1,2}[.)](?!\d))\s*\S")
 DIGIT = re.compile(r"\d")
-#: Digits as scanners misread them, in words with digits or before a Korean unit.
-MISREAD_NUMBER = re.compile(r"(?<![A-Za-z])(?=[\dOlISB,.]*\d)(?=[\d,.]*[OlISB])[\dOlISB][\dOlISB,.]*(?![A-Za-z])|(?<![A-Za-z])[lO](?=(?:건|부|식|종|회|점|일|명|초|호|개월|년|월|영업일)\S*)|(?<=[A-Z]{3}[-_ ])(?=[\dOlISB]*[OlISB])[\dOlISB]{2,3}(?![A-Za-z0-9])")
-
-#: A cheap test that MISREAD_NUMBER can match at all.
-MAYBE_NUMBER = re.compile(r"[OlISB](?:[\d,.]|[건부식종회점일명초호개년월영])|[\d,.][OlISB]|[-_ ][OlISB]{2}")
+#: Letters that scanners take for digits.
+FOR_DIGITS = str.maketrans("OoDlIiSsBZzgq", "0" * 13)
 
 
 def clean_word(token: str) -> str:
-    """A token without stray signs and edge punctuation, digits as 0."""
-    token = STRAY.sub("", token).strip(EDGE)
+    """A token without edge punctuation, digits as 0."""
+    token = token.strip(EDGE)
     if not token.isascii():
         token = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", token).translate(TABLE))
     return DIGIT.sub("0", token)
@@ -84,23 +90,19 @@ class _Words(dict):
 _word = _Words()
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, strays: frozenset = frozenset()) -> list[str]:
     """Words of a text in order, divided words joined; the last one is left out where a mark shows that it is cut."""
     tokens = SPLIT_WORD.sub("", text).split()
     if MARK.search(text[-80:].rstrip()):
         tokens.pop()
-    return [_word[t] for t in tokens]
-
+    return [_word[without_strays(t, strays)] for t in tokens] if strays else [_word[t] for t in tokens]
 
-def _bit(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % BITS
 
-
-def _count(batches):
+def _count(batches, wanted=None):
     counts = Counter()
     for pdf in batches:
         for text in pdf["text"]:
-            counts.update(words_of(text))
+            counts.update(words_of(text) if wanted is None else filter(wanted, words_of(text)))
         if len(counts) > 500_000:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
             counts = Counter()
@@ -108,18 +110,109 @@ def _count(batches):
         yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
 
-def patterns(word: str) -> list[str]:
-    """The word with each letter (of a Hangul syllable: each part) in turn left open; digraphs that look like one letter also as one."""
+# ---- stray signs ----
+
+
+LETTERS, DIGITS = re.compile(r"[^\W\d_]{2,}"), re.compile(r"\d{2,}")
+
+
+def _side(char: str) -> str:
+    return "edge" if not char or char in EDGE else "digit" if char.isdigit() else "letter" if char.isalpha() else "sign"
+
+
+def signs_in(word: str) -> list[tuple[str, str, str, int]]:
+    """(sign, kind of what stands before, after, place) of the signs in a word; hyphens divide or join and are none."""
+    out = []
+    for i, c in enumerate(word):
+        if not c.isalnum() and c not in HYPHENS and unicodedata.category(c)[0] in "PSCZ":
+            out.append((c, _side(word[i - 1 : i]), _side(word[i + 1 : i + 2]), i))
+    return out
+
+
+def _signed(batches):
+    """(sign, before, after, word left without it, n); an empty sign counts the places between two letters and between two digits."""
+    for pdf in batches:
+        rows = [(c, a, b, w[:i] + w[i + 1 :], n) for w, n in zip(pdf["word"], pdf["n"]) if len(w) > 2 and not w.isalnum() for c, a, b, i in signs_in(w)]
+        for side, pair in (("letter", LETTERS), ("digit", DIGITS)):
+            rows.append(("", side, side, "", int(sum(n * (len(x) - 1) for w, n in zip(pdf["word"], pdf["n"]) for x in pair.findall(w)))))
+        yield pd.DataFrame(rows, columns=["sign", "before", "after", "word", "n"])
+
+
+def _count_with_signs(batches):
+    yield from _count(batches, lambda w: len(w) > 2 and not w.isalnum())
+
+
+def stray_signs(counts: DataFrame, blocks: DataFrame | None = None) -> frozenset:
+    """(sign, before, after) that are stray; there are at most as many as signs times 16, whatever the data.
+
+    A place with few occurrences is judged like its sign elsewhere.  Between digits any
+    sign leaves a frequent number: there the sign is stray as far as it is no more
+    frequent, for the places there are, than between letters.
+    """
+    words = counts
+    if blocks is not None:  # signs that stand in the words of blocks only
+        words = counts.unionByName(blocks.select("text").mapInPandas(_count_with_signs, "word string, n long"))
+    signed = words.mapInPandas(_signed, "sign string, before string, after string, word string, n long")
+    base = counts.select("word", F.col("n").alias("base"))
+    met = signed.join(base, "word", "left").withColumn("good", F.when((F.coalesce("base", F.lit(0)) >= F.col("n") * RATIO) & F.col("word").rlike(r"[^0-9.,]"), F.col("n")).otherwise(0))
+    got = met.groupBy("sign", "before", "after").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toPandas()
+    places = got[got["sign"] == ""].set_index("before")["n"]
+    got = got[got["sign"] != ""].astype({"good": float})
+    numeric = (got["before"] == "digit") & (got["after"] == "digit")
+    by_letters = got[(got["before"] == "letter") & (got["after"] == "letter")].set_index("sign")["good"] / max(1, places.get("letter", 1))
+    got.loc[numeric, "good"] = np.minimum(got["n"], got["sign"].map(by_letters).fillna(0.0) * places.get("digit", 0))[numeric]
+    of_sign = got[~numeric].groupby("sign")[["good", "n"]].sum()
+    elsewhere = got["sign"].map(of_sign["good"] / of_sign["n"]).fillna(0.0)
+    share = (got["good"] + SHRINK * elsewhere * ~numeric) / (got["n"] + SHRINK * ~numeric)
+    return frozenset(got.loc[share >= STRAY_SHARE, ["sign", "before", "after"]].itertuples(index=False, name=None))
+
+
+def without_strays(token: str, strays: frozenset) -> str:
+    """The token without stray signs; the same string where it has none."""
+    if not strays or len(token) < 2 or token.isalnum():
+        return token
+    out = [c for i, c in enumerate(token) if c.isalnum() or (c, _side(token[i - 1 : i] if i else ""), _side(token[i + 1 : i + 2])) not in strays]
+    return "".join(out) if len(out) < len(token) else token
+
+
+# ---- links of rare words to frequent ones ----
+
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def patterns(word: str) -> list[int]:
+    """Hashes of the word with each letter (of a Hangul syllable: each part) in turn left open, digraphs that look like
+    one letter also as one; of the whole word; and of the word with letters for digits read as digits."""
     units = unicodedata.normalize("NFD", word)
-    out = [units[:i] + "*" + units[i + 1 :] for i in range(len(units))]
+    ahead, behind, power = [0], [0], [1]
+    for c in units:
+        ahead.append((ahead[-1] * _BASE + ord(c)) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    for k, c in enumerate(reversed(units)):
+        behind.append((behind[-1] + ord(c) * power[k]) % _PRIME)
+    behind.reverse()
+
+    def open_at(i, j):  # the hash of units[:i] + "*" + units[j:]
+        return (((ahead[i] * _BASE + 42) % _PRIME) * power[len(units) - j] + behind[j]) % _PRIME
+
+    out = [open_at(i, i + 1) for i in range(len(units))]
     for pair in ("rn", "cl", "li", "vv", "nn"):
         at = units.find(pair)
         while at >= 0:
-            out.append(units[:at] + "*" + units[at + 2 :])
+            out.append(open_at(at, at + 2))
             at = units.find(pair, at + 1)
+    out.append(ahead[-1] + _PRIME)
+    read = reading(word)
+    if read != word:
+        out.append(patterns(read)[-1])
     return out
 
 
+def reading(word: str) -> str:
+    """A word that holds a digit with the letters for digits read as digits."""
+    return word.translate(FOR_DIGITS) if "0" in word else word
+
+
 # Parts of letters that scanning takes for one another; each line is a group.
 GLYPHS = """
 ㅡ ㅗ ㅜ ㅠ ㅛ
@@ -153,7 +246,9 @@ _ALIKE = {frozenset((a, b)) for line in GLYPHS.strip().split("\n") for a in line
 
 
 def plausible(rare: str, common: str) -> bool:
-    """Does one glyph confusion turn the common word into the rare one?"""
+    """Does one glyph confusion, or letters for digits in a number, turn the common word into the rare one?"""
+    if reading(rare) == common:
+        return True
     a, b = unicodedata.normalize("NFD", rare), unicodedata.normalize("NFD", common)
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -168,7 +263,7 @@ def plausible(rare: str, common: str) -> bool:
 
 def _patterns(batches):
     for pdf in batches:
-        rows = [(p, w, n) for w, n in zip(pdf["word"], pdf["n"]) if 2 <= len(w) <= 40 for p in patterns(w)]
+        rows = [(p, w, n) for w, n in zip(pdf["word"], pdf["n"]) if len(w) > 1 for p in patterns(w)]
         yield pd.DataFrame(rows, columns=["pattern", "word", "n"])
 
 
@@ -179,128 +274,230 @@ def _plausible(batches):
 
 def glyph_links(counts: DataFrame) -> DataFrame:
     """(rare, common, n_rare, n_common) with one plausible glyph edit between them."""
-    keyed = counts.mapInPandas(_patterns, "pattern string, word string, n long")
+    keyed = counts.mapInPandas(_patterns, "pattern long, word string, n long")
     rare = keyed.select("pattern", F.col("word").alias("rare"), F.col("n").alias("n_rare"))
     # A pattern fixes all units but one, so the alphabet bounds its words however large the data are: each is compared with all frequent ones.
-    common = keyed.where(F.col("n") >= FREQUENT).select("pattern", F.col("word").alias("common"), F.col("n").alias("n_common"))
+    common = keyed.where(F.col("n") >= RATIO).select("pattern", F.col("word").alias("common"), F.col("n").alias("n_common"))
     return rare.join(common, "pattern").where((F.col("rare") != F.col("common")) & (F.col("n_rare") * RATIO <= F.col("n_common"))).select("rare", "common", "n_rare", "n_common").distinct().mapInPandas(
         _plausible, "rare string, common string, n_rare long, n_common long")
 
 
-def _bitmap(words: DataFrame) -> np.ndarray:
-    """Bits of the words' hashes; at most 2^22 positions come to the driver."""
+# ---- a filter of words ----
+
+BLOCK_BITS = 1 << 19
+
+
+class Filter:
+    """Bits of word hashes: what it lacks is certainly not wanted."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.data = np.zeros(max(1, bits >> 3), dtype=np.uint8)
+
+    def put(self, h: int) -> None:
+        at = h % self.bits
+        self.data[at >> 3] |= 1 << (at & 7)
+
+    def __contains__(self, h: int) -> bool:
+        at = h % self.bits
+        return bool(self.data[at >> 3] >> (at & 7) & 1)
 
-    def bits(batches):
-        seen = np.zeros(BITS, dtype=bool)
+
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _any_bit(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["data"]])
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [out.tobytes()]})
+
+
+def word_filter(words: DataFrame, bits: int | None = None) -> Filter:
+    """A filter of words(word); tasks set bits, blocks of bits are joined by or, at most 16 MB come to the driver."""
+    if bits is None:
+        bits = 1 << 16
+        wanted = words.count() * BITS_PER_WORD
+        while bits < min(wanted, MOST_BITS):
+            bits *= 2
+
+    def set_bits(batches):
+        mine = Filter(bits)
         for pdf in batches:
             for w in pdf["word"]:
-                seen[_bit(w)] = True
-        yield pd.DataFrame({"bit": np.flatnonzero(seen).astype(np.int32)})
-
-    out = np.zeros(BITS, dtype=bool)
-    out[words.mapInPandas(bits, "bit int").distinct().toPandas()["bit"].to_numpy()] = True
+                mine.put(_hash(w))
+        step = BLOCK_BITS >> 3
+        for b in range(0, len(mine.data), step):
+            part = mine.data[b : b + step]
+            if part.any():
+                yield pd.DataFrame({"block": [b], "data": [part.tobytes()]})
+
+    out = Filter(bits)
+    for r in words.mapInPandas(set_bits, "block int, data binary").groupBy("block").applyInPandas(_any_bit, "block int, data binary").toLocalIterator():
+        part = np.frombuffer(r["data"], dtype=np.uint8)
+        out.data[r["block"] : r["block"] + len(part)] = part
     return out
 
 
-def _contexts(bitmap):
-    """Per task: (word, number of neighbours, signed sums) for words of the bitmap, and for '' all words together."""
+# ---- skip-gram vectors ----
+
+
+def _neighbours(wanted):
+    """Per task: (key, cell, n), how often words of the filter have a neighbour of each cell; key 0 counts all words together."""
 
     def run(batches):
-        wanted, ids, sums, sizes = bitmap.value, {}, np.zeros((1024, DIMENSIONS), dtype=np.float64), np.zeros(1024)
-        cache: dict[str, tuple[int, float, bool]] = {}
-        everything, total = np.zeros(DIMENSIONS), 0.0
+        words, ids, keys = wanted.value, {}, []
+        cache: dict[str, tuple[int, int]] = {}
+        total = np.zeros(CELLS, dtype=np.int64)
+        codes, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        waiting: list[np.ndarray] = []
 
         def look(w):
             c = cache.get(w)
             if c is None:
                 if len(cache) > 500_000:
                     cache.clear()
-                h = xxhash.xxh64_intdigest(w)
-                c = cache[w] = (h % DIMENSIONS, 1.0 if h >> 63 else -1.0, bool(wanted[_bit(w)]))
+                h = _hash(w)
+                own = -1
+                if h in words:
+                    own = ids.setdefault(h, len(ids))
+                    if own == len(keys):
+                        keys.append(h)
+                c = cache[w] = (h % CELLS, own)
             return c
 
-        def flush():
-            words = list(ids)
-            n = len(words)
-            yield pd.DataFrame({"word": words + [""], "n": np.append(sizes[:n], total), "sums": [*(s.astype(np.float32).tobytes() for s in sums[:n]), everything.astype(np.float32).tobytes()]})
+        def settle():
+            nonlocal codes, counts
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
 
+        size = 0
         for pdf in batches:
             for text in pdf["text"]:
                 ws = words_of(text)
                 if len(ws) < 2:
                     continue
-                looked = [look(w) for w in ws]
-                dim = np.array([x[0] for x in looked])
-                sign = np.array([x[1] for x in looked])
-                own = np.array([ids.setdefault(w, len(ids)) if x[2] else -1 for w, x in zip(ws, looked)])
-                if len(ids) > len(sums):
-                    grow = max(len(ids), 2 * len(sums))
-                    sums = np.vstack([sums, np.zeros((grow - len(sums), DIMENSIONS))])
-                    sizes = np.append(sizes, np.zeros(grow - len(sizes)))
+                looked = np.array([look(w) for w in ws])
+                cell, own = looked[:, 0], looked[:, 1]
                 for off in range(1, WINDOW + 1):
                     for mid, ctx in ((slice(off, None), slice(None, -off)), (slice(None, -off), slice(off, None))):
-                        m, d, s = own[mid], dim[ctx], sign[ctx]
-                        everything += np.bincount(d, weights=s, minlength=DIMENSIONS)
-                        total += len(d)
+                        m, c = own[mid], cell[ctx]
+                        total += np.bincount(c, minlength=CELLS)
                         keep = m >= 0
-                        np.add.at(sums, (m[keep], d[keep]), s[keep])
-                        np.add.at(sizes, m[keep], 1)
-            if len(ids) > 100_000:
-                yield from flush()
-                ids, sums, sizes, everything, total = {}, np.zeros((1024, DIMENSIONS)), np.zeros(1024), np.zeros(DIMENSIONS), 0.0
-        yield from flush()
+                        waiting.append(m[keep] * CELLS + c[keep])
+                        size += len(waiting[-1])
+            if size > 4_000_000:
+                settle()
+                size = 0
+        if waiting:
+            settle()
+        names = np.array(keys, dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"key": np.append(names[codes // CELLS], np.zeros(CELLS, dtype=np.int64)), "cell": np.append(codes % CELLS, np.arange(CELLS)).astype(np.int32), "n": np.append(counts, total)})
 
     return run
 
 
-def _total(pdf: pd.DataFrame) -> pd.DataFrame:
-    sums = np.sum([np.frombuffer(b, dtype=np.float32) for b in pdf["sums"]], axis=0, dtype=np.float64)
-    return pd.DataFrame({"word": [pdf["word"].iloc[0]], "n": [pdf["n"].sum()], "vector": [(sums / max(1.0, pdf["n"].sum())).astype(np.float32).tobytes()]})
+def _pmi(pdf: pd.DataFrame, share: np.ndarray) -> np.ndarray:
+    """Rows of positive PMI; the cells' shares are smoothed by the power 0.75, as negative samples are drawn."""
+    rows = np.zeros((len(pdf), CELLS), dtype=np.float32)
+    for i, row in enumerate(pdf["row"]):
+        cells = np.fromiter((r["cell"] for r in row), dtype=np.int64)
+        n = np.fromiter((r["n"] for r in row), dtype=np.float64)
+        rows[i, cells] = np.maximum(0.0, np.log(n / n.sum() / share[cells]))
+    return rows
+
+
+def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(pdf["data"].iloc[0]) // 8)
+    for b in pdf["data"]:
+        total += np.frombuffer(b, dtype=np.float64)
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
+
+
+def skipgram_vectors(texts: DataFrame, words: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(key, vector) of the words, key being the word's hash, and the vectors of the neighbour cells (CELLS x DIMENSIONS).
+
+    The driver gets CELLS shares and the CELLS x CELLS Gram matrix (2 MB), whatever the data.
+    """
+    wanted = texts.sparkSession.sparkContext.broadcast(word_filter(words))
+    pairs = written(texts.mapInPandas(_neighbours(wanted), "key long, cell int, n long").groupBy("key", "cell").agg(F.sum("n").alias("n")), "neighbours")
+    share = np.zeros(CELLS)
+    for r in pairs.where("key = 0").collect():
+        share[r["cell"]] = r["n"]
+    share = np.maximum(share, 1.0) ** 0.75
+    share /= share.sum()
+    keys = words.select(F.col("word")).mapInPandas(_keys, "key long").distinct()
+    rows = written(pairs.where("key <> 0").join(keys, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("cell", "n")).alias("row")), "rows")  # at most CELLS entries each
+
+    def gram(batches):
+        out = np.zeros((CELLS, CELLS))
+        for pdf in batches:
+            m = _pmi(pdf, share).astype(np.float64)
+            out += m.T @ m
+        for b in range(0, CELLS, 64):
+            yield pd.DataFrame({"block": [b], "data": [out[b : b + 64].tobytes()]})
 
+    total = np.zeros((CELLS, CELLS))
+    for r in rows.mapInPandas(gram, "block int, data binary").groupBy("block").applyInPandas(_sum_blocks, "block int, data binary").collect():
+        total[r["block"] : r["block"] + 64] = np.frombuffer(r["data"]).reshape(64, CELLS)
+    cells = np.linalg.eigh(total)[1][:, ::-1][:, :DIMENSIONS].astype(np.float32)
 
-def skipgram_vectors(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, n, vector) of mean signed neighbour projections; '' has the mean over all words."""
-    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(words))
-    # Summed on the dimensions in the JVM so that a frequent word never gathers in one task.
-    parts = texts.mapInPandas(_contexts(wanted), "word string, n double, sums binary")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("sums"), F.lit(8)))
-    half = salted.groupBy("word", "salt").applyInPandas(lambda pdf: _total(pdf), "word string, n double, vector binary")
-    again = half.select("word", "n", "vector").groupBy("word").applyInPandas(_mean, "word string, n double, vector binary")
-    return again
+    def project(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "vector": [v.tobytes() for v in _pmi(pdf, share) @ cells]})
 
+    return rows.mapInPandas(project, "key long, vector binary"), cells
 
-def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    n = pdf["n"].to_numpy()
-    v = np.average([np.frombuffer(b, dtype=np.float32) for b in pdf["vector"]], axis=0, weights=np.maximum(n, 1e-9))
-    return pd.DataFrame({"word": [pdf["word"].iloc[0]], "n": [n.sum()], "vector": [v.astype(np.float32).tobytes()]})
 
+def _keys(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"key": np.array([_hash(w) for w in pdf["word"]], dtype=np.uint64).view(np.int64)})
 
-def _similar(mean):
-    def run(batches):
-        for pdf in batches:
-            cos = []
-            for a, b in zip(pdf["va"], pdf["vb"]):
-                x, y = np.frombuffer(a, dtype=np.float32) - mean, np.frombuffer(b, dtype=np.float32) - mean
-                cos.append(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-12)))
-            yield pdf[["rare", "common", "n_rare", "n_common"]].assign(context=cos)
 
-    return run
+def _keyed(batches):
+    for pdf in batches:
+        for side in ("rare", "common"):
+            pdf["k_" + side] = np.array([_hash(w) for w in pdf[side]], dtype=np.uint64).view(np.int64)
+        yield pdf
+
+
+def _similar(batches):
+    for pdf in batches:
+        cos = []
+        for a, b in zip(pdf["va"], pdf["vb"]):
+            x, y = np.frombuffer(a, dtype=np.float32), np.frombuffer(b, dtype=np.float32)
+            cos.append(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-12)))
+        number = [reading(a) == b for a, b in zip(pdf["rare"], pdf["common"])]
+        yield pdf[["rare", "common", "n_rare", "n_common"]].assign(context=cos, vector=pdf["vb"], number=number)
+
+
+#: number: letters for digits in a number, which can't be read otherwise; what stands around numbers says little.
+LINKS = "rare string, common string, n_rare long, n_common long, context double, vector binary, number boolean"
+
+
+def candidate_links(texts: DataFrame, counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """All links that glyphs and vectors support, with the frequent word's vector; and the vectors of neighbours."""
+    pairs = written(glyph_links(counts).mapInPandas(_keyed, "rare string, common string, n_rare long, n_common long, k_rare long, k_common long"), "glyphs")
+    both = pairs.select(F.col("rare").alias("word")).unionByName(pairs.select(F.col("common").alias("word"))).distinct()
+    vectors, cells = skipgram_vectors(texts, both)
+    vectors = written(vectors, "vectors")
+    va = vectors.select(F.col("key").alias("k_rare"), F.col("vector").alias("va"))
+    vb = vectors.select(F.col("key").alias("k_common"), F.col("vector").alias("vb"))
+    scored = pairs.join(va, "k_rare").join(vb, "k_common").mapInPandas(_similar, LINKS).where((F.col("context") >= CONTEXT) | F.col("number"))
+    return written(scored, "links"), cells
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    return written(texts.mapInPandas(_count, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
 
 def links(documents: DataFrame) -> DataFrame:
-    """(rare, common, n_rare, n_common, context): the corrections that glyphs and context support."""
+    """(rare, common, n_rare, n_common, context): per rare word the nearest of the frequent words that it may stand for."""
     texts = documents.where("text_raw is not null").select(F.col("text_raw").alias("text"))
-    counts = written(texts.mapInPandas(_count, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    pairs = written(glyph_links(counts), "glyphs")
-    both = pairs.select(F.col("rare").alias("word")).unionByName(pairs.select(F.col("common").alias("word"))).distinct()
-    vectors = written(skipgram_vectors(texts, both), "vectors")
-    mean = vectors.where("word = ''").select("vector").head()
-    mean = np.frombuffer(mean[0], dtype=np.float32) if mean else np.zeros(DIMENSIONS, dtype=np.float32)
-    va = vectors.select(F.col("word").alias("rare"), F.col("vector").alias("va"))
-    vb = vectors.select(F.col("word").alias("common"), F.col("vector").alias("vb"))
-    scored = pairs.join(va, "rare").join(vb, "common").mapInPandas(_similar(mean), "rare string, common string, n_rare long, n_common long, context double").where(F.col("context") >= CONTEXT)
+    found, _ = candidate_links(texts, word_counts(texts))
     best = F.max(F.struct(F.col("context"), F.col("n_common"), F.col("common"), F.col("n_rare"))).alias("b")
-    return scored.groupBy("rare").agg(best).select("rare", "b.common", "b.n_rare", "b.n_common", "b.context")
+    return found.groupBy("rare").agg(best).select("rare", "b.common", "b.n_rare", "b.n_common", "b.context")
 
 
 # ---- page furniture ----
@@ -379,23 +576,26 @@ def _opens_page(lines: list[str], i: int) -> bool:
 IN_LINE = re.compile(r"(?:^|\s)[-–(]?\s*(\d{1,3})\s*[-–)]?$|^[-–(]?\s*(\d{1,3})\s*[-–)]?\s")
 
 
-def noise_of(text: str, headings: list[str]) -> set[str]:
+def is_furniture(line: str, headings: list[str]) -> bool:
+    return bool(line) and (is_page_line(line) or bool(headings) and len(line) <= 70 and any(alike(shape(line), h) for h in headings))
+
+
+def noise_of(text: str, headings: list[str], strays: frozenset = frozenset()) -> set[str]:
     """Kinds of noise that show without the word links."""
     kinds = set()
-    body = text.rstrip().rstrip("�")
-    plain = [x.strip() for x in body.split("\n")]
-    if any(c in body for c in "■�^|~") and STRAY.search("\n".join(x for x in plain if "|" not in x or STRAY.search(x.replace(" | ", "   ")))) or (MAYBE_NUMBER.search(body) and MISREAD_NUMBER.search(body)):
-        kinds.add("misread")
+    plain = [x.strip() for x in text.rstrip().rstrip("�").split("\n")]
     numbers = set()
     for x in plain:
         if not x:
             continue
+        if strays and any(w != t for _, t, w in _tokens(x, strays)):
+            kinds.add("misread")
         if is_page_line(x):
             kinds.add("page_number")
             continue
         if x[-1] in HYPHENS and SPLIT_LINE.search(x):
             kinds.add("hyphenation")
-        if headings and len(x) <= 70 and any(alike(shape(x), h) for h in headings):
+        if is_furniture(x, headings):
             kinds.add("running_header")
             m = IN_LINE.search(x)
             if m:
@@ -405,32 +605,51 @@ def noise_of(text: str, headings: list[str]) -> set[str]:
     return kinds
 
 
-NOISE = "table_name string, record_id string, noise_kind string, word string, noisy boolean"
+TOKEN = re.compile(r"\S+")
+#: A token with the rest of it where a line end divides it.
+WHOLE = re.compile(rf"(?:{SPLIT_WORD.pattern}|\S)+")
 
 
-def _scan(bitmap, name):
-    """Rows of the kinds found, and the words of each record that may be linked (noise_kind null)."""
+def _tokens(line: str, strays: frozenset):
+    """(place, token, token without stray signs) of a line; a sign that opens the line is a list mark."""
+    for m in TOKEN.finditer(line):
+        t = m[0]
+        if m.start() == 0 and len(t) > 1 and not t[0].isalnum():
+            yield m.start(), t, t[0] + without_strays(t[1:], strays)
+        else:
+            yield m.start(), t, without_strays(t, strays)
+
+
+NOISE = "table_name string, record_id string, noise_kind string, word string, at int, neighbours array<int>"
+
+
+def _scan(wanted, strays, name):
+    """Rows of the kinds found, and each occurrence of a word that may be linked, with its neighbours' cells (noise_kind null)."""
 
     def run(batches):
-        wanted = bitmap.value
-        cache: dict[str, bool] = {}
+        words = wanted.value
+        cache: dict[str, tuple[bool, int]] = {}
+
+        def look(w):
+            c = cache.get(w)
+            if c is None:
+                if len(cache) > 500_000:
+                    cache.clear()
+                h = _hash(w)
+                c = cache[w] = (h in words, h % CELLS)
+            return c
+
         for pdf in batches:
             rows = []
             for record, text, heads in zip(pdf["record_id"], pdf["text"], pdf["headings"]):
-                kinds = noise_of(text, [] if heads is None else list(heads))
-                rows.extend((name, record, k, None, None) for k in kinds)
-                words = []
-                for w in set(words_of(text)):
-                    hit = cache.get(w)
-                    if hit is None:
-                        if len(cache) > 500_000:
-                            cache.clear()
-                        hit = cache[w] = bool(wanted[_bit(w)])
+                rows.extend((name, record, k, None, None, None) for k in noise_of(text, [] if heads is None else list(heads), strays))
+                ws = words_of(text, strays)
+                looked = [look(w) for w in ws]
+                for i, (hit, _) in enumerate(looked):
                     if hit:
-                        words.append(w)
-                # Several linked words in one record are noise around each other.
-                rows.extend((name, record, None, w, bool(kinds) or len(words) > 2) for w in words)
-            yield pd.DataFrame(rows, columns=["table_name", "record_id", "noise_kind", "word", "noisy"])
+                        around = [looked[j][1] for j in range(max(0, i - WINDOW), min(len(ws), i + WINDOW + 1)) if j != i]
+                        rows.append((name, record, None, ws[i], i, around))
+            yield pd.DataFrame(rows, columns=["table_name", "record_id", "noise_kind", "word", "at", "neighbours"])
 
     return run
 
@@ -454,43 +673,82 @@ def _with_document(blocks: DataFrame) -> DataFrame:
     return blocks.where("text_normalized is not null").select(F.col("block_id").alias("record_id"), F.col("text_normalized").alias("text"), key.alias("key"))
 
 
-def _detected(documents: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    known = written(links(documents), "links")
-    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(known.select(F.col("rare").alias("word"))))
-    docs = with_headings(documents)
-    heads = written(docs.where(F.size("headings") > 0).select(canonical_id(F.col("record_id")).alias("key"), "headings").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("headings"))).alias("headings")), "headings")
-    of_docs = docs.mapInPandas(_scan(bitmap, "documents"), NOISE)
-    parts = _with_document(blocks).join(heads, "key", "left").select("record_id", "text", "headings")
-    of_blocks = parts.mapInPandas(_scan(bitmap, "blocks"), NOISE)
-    rows = written(of_docs.unionByName(of_blocks), "noise")
-    # A real word that merely resembles a frequent one occurs in clean records too.
-    where = rows.where("noise_kind is null and table_name = 'documents'").groupBy(F.col("word").alias("rare")).agg(F.count("*").alias("records"), F.avg(F.col("noisy").cast("int")).alias("among"))
-    known = written(known.join(where, "rare", "left").where((F.coalesce("records", F.lit(0)) < SPREAD) | (F.col("among") >= AMONG_NOISE)).select(*known.columns), "links")
-    return rows, known, docs, parts
+def _decide(cells):
+    """fit of every (occurrence, candidate): how well the neighbours predict the candidate; null without neighbours."""
 
+    def run(batches):
+        for pdf in batches:
+            fit = [float(np.mean(cells[np.asarray(a)] @ np.frombuffer(v, dtype=np.float32))) if a is not None and len(a) else None for a, v in zip(pdf["neighbours"], pdf["vector"])]
+            yield pdf.drop(columns=["neighbours", "vector"]).assign(fit=pd.array(fit, dtype="Float64"))
 
-def noise(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(table_name, record_id, noise_kind), one row per record and kind."""
-    rows, known, _, _ = _detected(documents, blocks)
-    linked = rows.where("noise_kind is null").join(known.select(F.col("rare").alias("word")), "word").select("table_name", "record_id", F.lit("misread").alias("noise_kind"))
-    return rows.where("noise_kind is not null").select("table_name", "record_id", "noise_kind").unionByName(linked).distinct()
+    return run
 
 
-def repaired_text(text: str, headings: list[str], fixes: dict[str, str]) -> str:
-    """Continuous paragraphs: furniture out, divided words joined, misread words corrected, lines reflowed."""
-    lines, prev_cut = [], False
+OCCURRENCES = "table_name string, record_id string, word string, at int, common string, context double, number boolean, fit double"
+
+
+def _detected(documents: DataFrame, blocks: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, frozenset]:
+    """(kinds, occurrences, docs, parts, strays): kinds of noise per record; misread occurrences, each with its correction; the texts."""
+    docs = written(with_headings(documents), "parsed")
+    texts = docs.select("text")
+    counts = word_counts(texts)
+    strays = stray_signs(counts, _with_document(blocks))
+    known, cells = candidate_links(texts, counts)
+    wanted = documents.sparkSession.sparkContext.broadcast(word_filter(known.select(F.col("rare").alias("word")).distinct(), bits))
+    heads = docs.where(F.size("headings") > 0).select(canonical_id(F.col("record_id")).alias("key"), "headings").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("headings"))).alias("headings"))
+    parts = _with_document(blocks).join(written(heads, "headings"), "key", "left").select("record_id", "text", "headings")
+    rows = written(docs.mapInPandas(_scan(wanted, strays, "documents"), NOISE).unionByName(parts.mapInPandas(_scan(wanted, strays, "blocks"), NOISE)), "noise")
+    kinds = rows.where("noise_kind is not null").select("table_name", "record_id", "noise_kind")
+    met = rows.where("noise_kind is null").select("table_name", "record_id", "word", "at", "neighbours").join(known.select(F.col("rare").alias("word"), "common", "context", "vector", "number"), "word")
+    scored = met.mapInPandas(_decide(cells), OCCURRENCES).where((F.col("fit") >= FIT) | F.col("fit").isNull() | F.col("number"))
+    best = F.max_by(F.col("common"), F.struct(F.coalesce("fit", F.lit(0.0)) + F.col("context"), "common")).alias("common")
+    chosen = written(scored.groupBy("table_name", "record_id", "at", "word").agg(best), "occurrences")
+    # A real word that merely resembles a frequent one occurs in clean records too: records with other noise are counted.
+    docs_only = chosen.where("table_name = 'documents'").select("record_id", "word").distinct()
+    noisy = kinds.where("table_name = 'documents'").select("record_id", F.lit(3).alias("n")).distinct().unionByName(docs_only.groupBy("record_id").agg(F.count("*").cast("int").alias("n")))
+    noisy = noisy.groupBy("record_id").agg((F.max("n") > 2).cast("int").alias("noisy"))
+    where = written(docs_only.join(noisy, "record_id").groupBy("word").agg(F.count("*").alias("records"), F.sum("noisy").alias("among")), "among")
+    overall = where.agg(F.sum("among") / F.sum("records")).first()[0] or 0.0
+    real = where.where((F.col("among") + SHRINK * overall) / (F.col("records") + SHRINK) < AMONG_NOISE).select("word")
+    return kinds, written(chosen.join(real, "word", "left_anti"), "misread"), docs, parts, strays
+
+
+def noise(documents: DataFrame, blocks: DataFrame, bits: int | None = None) -> DataFrame:
+    """(table_name, record_id, noise_kind), one row per record and kind."""
+    kinds, misread, *_ = _detected(documents, blocks, bits)
+    return kinds.unionByName(misread.select("table_name", "record_id", F.lit("misread").alias("noise_kind"))).distinct()
+
+
+def repaired_text(text: str, headings: list[str], fixes: dict[tuple[int, str], str], strays: frozenset = frozenset()) -> str:
+    """Continuous paragraphs: misread words corrected, furniture out, divided words joined, lines reflowed.
+
+    fixes: (place in words_of(text), word) -> the word it stands for.
+    """
+    if fixes or strays:
+        out, last = [], 0
+        for i, m in enumerate(WHOLE.finditer(text)):
+            t = m[0]
+            first = (m.start() == 0 or text[m.start() - 1] == "\n") and not t[0].isalnum()
+            put = t[0] + without_strays(t[1:], strays) if first and len(t) > 1 else without_strays(t, strays)
+            to = fixes.get((i, _word[SPLIT_WORD.sub("", put)])) if fixes else None
+            if to is not None:
+                put = _fixed(put, to)
+            out += [text[last : m.start()], put]
+            last = m.end()
+        text = "".join(out) + text[last:]
+    lines, after_page = [], False
     for raw in text.split("\n"):
         x = raw.strip()
-        if x and (is_page_line(x) or (headings and len(x) <= 70 and any(alike(shape(x), h) for h in headings))):
+        if is_furniture(x, headings):
             while lines and not lines[-1]:
                 lines.pop()
-            prev_cut = True
+            after_page = True
             continue
-        if not x and prev_cut:
+        if not x and after_page:
             continue
-        if prev_cut and lines and x and re.search(r"[.!?]$|[함음임것됨]$", lines[-1]):
+        if after_page and lines and x and re.search(r"[.!?]$|[함음임것됨]$", lines[-1]):
             lines.append("")
-        prev_cut = False
+        after_page = False
         lines.append(x)
     joined = SPLIT_WORD.sub("", "\n".join(lines))
     paragraphs = []
@@ -503,32 +761,27 @@ def repaired_text(text: str, headings: list[str], fixes: dict[str, str]) -> str:
                 flow.append(line.strip())
         if flow:
             paragraphs.append("\n".join(flow))
-    out = re.sub(r"[ \t\xa0]+", " ", "\n\n".join(paragraphs))
-    out = "\n".join(x if " | " in x else STRAY.sub("", x) for x in out.split("\n"))
-    out = MISREAD_NUMBER.sub(lambda m: m[0].translate(str.maketrans("OlISB", "01158")), out)
-    if fixes:
-        out = re.sub(r"\S+", lambda m: _fixed(m[0], fixes), out)
-    return out
+    return re.sub(r"[ \t\xa0]+", " ", "\n\n".join(paragraphs))
 
 
-def _fixed(token: str, fixes: dict[str, str]) -> str:
+def _fixed(token: str, to: str) -> str:
+    """The token with its word replaced, its own digits and the punctuation around it kept."""
+    token = SPLIT_WORD.sub("", token)
     core = token.strip(EDGE)
-    to = fixes.get(clean_word(token))
-    if to is None or not core:
+    if not core:
         return token
-    digits = iter(DIGIT.findall(core))
+    digits = iter([c for c in core.translate(str.maketrans("OoDlIiSsBZzgq", "0001115582299")) if c.isdigit()]) if "0" in to else iter(())
     return token.replace(core, "".join(next(digits, c) if c == "0" else c for c in to), 1)
 
 
 def repaired_records(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """(table_name, record_id, text) of parsed documents and of blocks as continuous readable paragraphs; a block delivered again with another text has a row for each."""
-    rows, known, docs, parts = _detected(documents, blocks)
-    fixes = rows.where("noise_kind is null").join(known.select(F.col("rare").alias("word"), "common"), "word").groupBy("table_name", "record_id").agg(
-        F.map_from_entries(F.collect_set(F.struct("word", "common"))).alias("fixes"))
+    _, misread, docs, parts, strays = _detected(documents, blocks)
+    fixes = misread.groupBy("table_name", "record_id").agg(F.collect_set(F.struct("at", "word", "common")).alias("fixes"))
 
     def mend(batches):
         for pdf in batches:
-            done = [repaired_text(t, [] if h is None else list(h), dict(f) if f else {}) for t, h, f in zip(pdf["text"], pdf["headings"], pdf["fixes"])]
+            done = [repaired_text(t, [] if h is None else list(h), {(r["at"], r["word"]): r["common"] for r in f} if f is not None else {}, strays) for t, h, f in zip(pdf["text"], pdf["headings"], pdf["fixes"])]
             yield pdf[["table_name", "record_id"]].assign(text=done)
 
     texts = docs.withColumn("table_name", F.lit("documents")).unionByName(parts.dropDuplicates(["record_id", "text"]).withColumn("table_name", F.lit("blocks")))

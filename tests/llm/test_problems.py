@@ -109,6 +109,51 @@ def test_p3_page_lines(line):
 def test_p3_plausible_edits():
     assert scans.plausible("계획올", "계획을") and scans.plausible("arcbive", "archive") and scans.plausible("rnanual", "manual") and scans.plausible("0,O00", "0,000")
     assert not scans.plausible("계획은", "계획을을") and not scans.plausible("만족", "사업")
+    assert scans.plausible("0OS,l00", "000,000") and scans.reading("예산") == "예산"
+
+
+def scanned(rng, n):
+    """n clean records in which 예산을 and 사업을 stand between words of their own."""
+    left = [["수행사는", "예산을", "배정한다."], ["감독관은", "예산을", "승인한다."], ["담당자는", "사업을", "시작한다."]]
+    return [" ".join(" ".join(rng.choice(left)) for _ in range(12)) for _ in range(n)]
+
+
+def scan_tables(spark, texts):
+    documents = spark.createDataFrame([(f"D{i}", t, "제목", "가온시") for i, t in enumerate(texts)], "document_id string, text_raw string, title string, agency string")
+    return documents, spark.createDataFrame([], "block_id string, document_id string, text_normalized string")
+
+
+def test_p3_occurrences_are_decided_by_their_context(spark, monkeypatch):
+    """예산올 is a misread where 예산을 belongs; the same letters among other words are left alone."""
+    rng = random.Random(8)
+    page = "\n\n- 1 -\n\n"
+    misread = "수행사는 예산올 배정한다. 감독관은 예산올 승인한다." + page
+    other = "여름에는 산과 예산올 고개와 들판에서 쉰다." + page
+    texts = scanned(rng, 60) + ["여름에는 산과 고개와 들판에서 쉰다. 산과 고개와 들판에서"] * 8 + [misread, other]
+    documents, blocks = scan_tables(spark, texts)
+    kinds = lambda: {r["record_id"] for r in scans.noise(documents, blocks).collect() if r["noise_kind"] == "misread"}
+    assert kinds() == {"D68"}
+    fixed = {r["document_id"]: r["text"] for r in scans.repaired(documents, blocks).collect()}
+    assert "예산올" not in fixed["D68"] and fixed["D68"].count("예산을") == 2 and "예산올" in fixed["D69"]
+    monkeypatch.setattr(scans, "FIT", -9.0)  # without the decision by context both are taken
+    assert kinds() == {"D68", "D69"}
+
+
+def test_p3_filter_size_changes_no_row(spark):
+    rng = random.Random(9)
+    texts = scanned(rng, 40) + ["수행사는 예산올 배정한다. 감독관은 예산을 승인한다.\n\n- 1 -", "담당자는 사업올 시작한다. 감독관은 예산올 승인한다.", "깨끗한 글이다."]
+    documents, blocks = scan_tables(spark, texts)
+    rows = [sorted(map(tuple, scans.noise(documents, blocks, bits).collect())) for bits in (1 << 6, 1 << 22)]
+    assert rows[0] == rows[1] and len(rows[0]) >= 3
+
+
+def test_p3_stray_signs_are_learned(spark):
+    counts = spark.createDataFrame(
+        [("제출하여야", 900), ("제출^하여야", 2), ("^제출하여야", 1), ("점검하여야", 500), ("점검¤하여야", 3), ("시설·장비", 40), ("시설장비", 45), ("0~0일", 60), ("00일", 3000), ("0^0일", 1), ("보고서", 700), ("보고~서", 2), ("000,000", 400)], "word string, n long")
+    strays = scans.stray_signs(counts)
+    assert {("^", "letter", "letter"), ("¤", "letter", "letter"), ("~", "letter", "letter"), ("^", "edge", "letter")} <= strays
+    assert not strays & {("·", "letter", "letter"), ("~", "digit", "digit"), (",", "digit", "digit")}
+    assert scans.without_strays("보고^서", strays) == "보고서" and scans.without_strays("3~5일", strays) == "3~5일" and scans.without_strays("시설·장비", strays) == "시설·장비"
 
 
 def test_p3_blocks_are_repaired_too(spark):
