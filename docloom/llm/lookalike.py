@@ -1,13 +1,17 @@
 """Visually identical text with different characters.
 
-Method: the tokens of all values form a vocabulary.  Tokens written in consistent
-characters are kept in tries; every other token walks the trie of its shard with a
-weighted edit automaton in which look-alike letters and ignorable characters cost
-nothing and any visible change costs more than the budget of zero.  It takes the most
-frequent spelling that it reaches; a token that reaches none is normalised by the
-table.  Tokens are sharded by a hash of their character classes: spellings at cost
-zero share all classes, so a shard holds every spelling that can match, and shards
-stay even whatever tokens are common.
+Method: the tokens of all values form a vocabulary.  Tokens written consistently (their
+letters of one script wherever scripts look alike, no ignorable characters, no
+presentation forms) are spellings and are kept in tries; every token that shares its
+looks with another, or isn't consistent, walks the trie of its shard with a weighted
+edit automaton.  A unit may follow every branch that looks like it: look-alikes and
+ignorable characters cost nothing, a change of case or of an accent costs MINOR, any
+other visible change 1, and the budget is zero.  Of the spellings reached, the cheapest
+and then the most frequent is canonical, so a mixed word takes the script that its
+vocabulary uses, not the one of the table; a token that reaches none is normalised by
+the table.  Tokens are sharded by a hash of their character classes: spellings at cost
+zero share all classes, so a shard holds every spelling that can match, and shards stay
+even whatever tokens are common.
 
 Results by case: null values stay null and are no case; an empty value is its own
 form; blanks keep their number, only their kind changes; letter case and visible
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,36 +35,39 @@ FIELDS = ("title", "source_filename_raw", "source_filename_nfc")
 BLANK = r"[\s\x{0085}\p{Z}]"
 TOKENS_PER_SHARD = 50_000
 SALTS = 4
+#: Cost of a change that readers see but may not mind: letter case, an accent.
+MINOR = 0.5
 
 # Letters and marks that look like the first character of their line (after NFD and width folding).
 LOOKALIKES = """
-A ΑАᎪ
-B ΒВᏴ
-C СϹᏟⅭ
-D ᎠⅮ
-E ΕЕᎬ
-F Ϝ
-G ԌᏀ
-H ΗНᎻ
-I ΙІӀⅠ
-J ЈᎫ
-K ΚКᏦK
-L ᏞⅬ
-M ΜМᎷϺⅯ
-N Ν
-O ΟОՕ
-P ΡРᏢ
+A ΑАᎪꓮ
+B ΒВᏴꓐⲂ
+C СϹᏟⅭꓚⲤ
+D ᎠⅮꓓ
+E ΕЕᎬꓰ
+F Ϝꓝ
+G ԌᏀꓖ
+H ΗНᎻꓧⲎ
+I ΙІӀⅠꓲⲒ
+J ЈᎫꓙ
+K ΚКᏦKꓗⲔ
+L ᏞⅬꓡ
+M ΜМᎷϺⅯꓟⲘ
+N ΝꓠⲚ
+O ΟОՕꓳⲞ
+P ΡРᏢꓑⲢ
 Q Ԛ
-S ЅՏᏚ
-T ΤТᎢ
-U Ս
-V ѴᏙⅤ
-W ԜᎳ
-X ΧХⅩ
-Y ΥҮУ
-Z ΖᏃ
+R Ꭱꓣ
+S ЅՏᏚꓢ
+T ΤТᎢꓔⲦ
+U Սꓴ
+V ѴᏙⅤꓦ
+W ԜᎳꓪ
+X ΧХⅩꓫⲬ
+Y ΥҮУꓬ
+Z ΖᏃꓜ
 a аɑα
-c сϲⅽ
+c сϲⅽⲥ
 d ԁⅾ
 e е
 g ɡ
@@ -69,8 +77,8 @@ j јϳ
 l ⅼ
 m ⅿ
 n ո
-o οоօ
-p рρ
+o οоօⲟ
+p рρⲣ
 q ԛ
 s ѕ
 u υս
@@ -90,16 +98,31 @@ y у
 | ∣
 * ∗
 _ ˍ
+口 ロ囗
+力 カ
+工 エ
+二 ニ
+八 ハ
+卜 ト
+夕 タ
 """
 
 
+GROUPS = [line.replace(" ", "", 1) for line in LOOKALIKES.split("\n") if line]
+#: Presentation forms, by their own decomposition to one character: width forms, letters in mathematical fonts, radicals.
+PRESENTED = {}
+for _first, _last in ((0xFF01, 0xFFEE), (0x2100, 0x214F), (0x1D400, 0x1D7FF), (0x1EE00, 0x1EEFF), (0xFB20, 0xFB29), (0x2E80, 0x2FD5)):
+    for _code in range(_first, _last + 1):
+        _kind, _, _to = unicodedata.decomposition(chr(_code)).partition(" ")
+        if _kind in ("<wide>", "<narrow>", "<font>", "<compat>") and " " not in _to:
+            PRESENTED[_code] = chr(int(_to, 16))
+
+
 def _table() -> dict[int, str]:
-    table = {ord(c): line[0] for line in LOOKALIKES.split("\n") if line for c in line[2:]}
-    for code in range(0xFF01, 0xFFEF):  # width forms, by their own decomposition
-        kind, _, to = unicodedata.decomposition(chr(code)).partition(" ")
-        if kind in ("<wide>", "<narrow>"):
-            plain = chr(int(to, 16))
-            table[code] = table.get(ord(plain), plain)
+    table = {ord(c): group[0] for group in GROUPS for c in group[1:]}
+    for code, plain in PRESENTED.items():
+        plain = chr(next(iter({ord(plain)} & PRESENTED.keys()), ord(plain)))
+        table[code] = table.get(ord(plain), plain)
     return table
 
 
@@ -108,6 +131,11 @@ TABLE = _table()
 FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x2800, *range(0xFE00, 0xFE10)}
 
 
+#: Presentation forms alone: look-alikes stay what they are.
+FOLD = {code: TABLE[ord(plain)] if ord(plain) in PRESENTED else plain for code, plain in PRESENTED.items()}
+
+
+@lru_cache(maxsize=100_000)
 def ignorable(char: str) -> bool:
     return unicodedata.category(char) in ("Cf", "Cc") or ord(char) in FILLERS
 
@@ -123,6 +151,38 @@ def by_table(token: str) -> str:
     return unicodedata.normalize("NFC", classes(token))
 
 
+@lru_cache(maxsize=100_000)
+def script(char: str) -> str:
+    """The script of a letter, as the first word of its name; '' for other characters."""
+    return unicodedata.name(char, "").split(" ")[0] if char.isalpha() else ""
+
+
+#: The scripts whose letters look like a letter.
+SCRIPTS = {c: frozenset(script(x) for x in group) for group in GROUPS if group[0].isalpha() for c in group}
+
+
+def consistent_spelling(token: str) -> bool:
+    """Is the token written in composed plain characters, its letters of one script wherever scripts look alike?"""
+    if unicodedata.normalize("NFC", token) != token:
+        return False
+    own, shared = set(), set()
+    for c in token:
+        if ignorable(c) or ord(c) in PRESENTED or (ord(c) in TABLE and c not in SCRIPTS):
+            return False
+        if c in SCRIPTS:
+            shared.add(c)
+        elif c.isalpha():
+            own.add(script(c))
+    if len({script(c) for c in shared}) > 1 and not all(script(c) in own for c in shared):
+        return False
+    return all(script(c) in own or not own & SCRIPTS[c] for c in shared)
+
+
+@lru_cache(maxsize=100_000)
+def _class(unit: str) -> str:
+    return TABLE.get(ord(unit), unit)
+
+
 class Trie:
     """Decomposed spellings; a node is a dict of children, its spellings lie under the empty key."""
 
@@ -136,35 +196,31 @@ class Trie:
         node.setdefault("", []).append((-count, spelling))
 
     def nearest(self, token: str, budget: float = 0.0) -> str | None:
-        """The best spelling within the budget: least cost, then most frequent, then smallest.
-
-        Cost: 0 for equal or look-alike characters and for skipped ignorables, 1 for any
-        other substitution, insertion or deletion.
-        """
-        units = unicodedata.normalize("NFD", token)
-        frontier = {(id(self.root), 0): (self.root, 0.0)}
-        for unit in units:
-            step: dict = {}
-
-            def reach(node, cost, step=step):
-                if cost <= budget and step.get((id(node), 0), (None, budget + 1))[1] > cost:
-                    step[(id(node), 0)] = (node, cost)
-
-            alike = unicodedata.normalize("NFD", TABLE.get(ord(unit), unit))
+        """The best spelling within the budget: least cost, then most frequent, then smallest."""
+        frontier: dict[int, tuple[dict, float]] = {}
+
+        def reach(step, node, cost):
+            if cost <= budget and step.get(id(node), (None, budget + 1))[1] > cost:
+                step[id(node)] = (node, cost)
+                for c, child in node.items() if cost < budget else ():  # a unit that the token lacks
+                    if c:
+                        reach(step, child, cost + (MINOR if unicodedata.combining(c) else 1))
+
+        reach(frontier, self.root, 0.0)
+        for unit in unicodedata.normalize("NFD", unicodedata.normalize("NFD", token).translate(FOLD)):
+            step: dict[int, tuple[dict, float]] = {}
+            free, looks = ignorable(unit), _class(unit)
             for node, cost in frontier.values():
-                if ignorable(unit):
-                    reach(node, cost)
+                if free:
+                    reach(step, node, cost)
                     continue
-                to = node
-                for c in alike:
-                    to = to.get(c) if to is not None else None
-                if to is not None:
-                    reach(to, cost)
-                if cost + 1 <= budget:
-                    reach(node, cost + 1)
-                    for c, child in node.items():
-                        if c:
-                            reach(child, cost + 1)
+                for c, child in node.items():
+                    if c and (c == unit or _class(c) == looks):
+                        reach(step, child, cost)
+                    elif c and cost < budget:
+                        reach(step, child, cost + (MINOR if c.lower() == unit.lower() or _class(c.lower()) == _class(unit.lower()) else 1))
+                if cost < budget:
+                    reach(step, node, cost + (MINOR if unicodedata.combining(unit) else 1))
             frontier = step
             if not frontier:
                 return None
@@ -173,11 +229,10 @@ class Trie:
 
 
 def _mark(batches):
-    """token, n -> with the hash of its classes; clean where it is its own normal form."""
+    """token, n -> with the hash of its classes; clean where it is spelled consistently."""
     for pdf in batches:
-        shape = [classes(t) for t in pdf["token"]]
-        clean = [unicodedata.normalize("NFC", s) == t for s, t in zip(shape, pdf["token"])]
-        yield pd.DataFrame({"token": pdf["token"], "n": pdf["n"], "clean": clean, "shape": [zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in shape]})
+        shape = [zlib.crc32(classes(t).encode("utf-8", "surrogatepass")) for t in pdf["token"]]
+        yield pd.DataFrame({"token": pdf["token"], "n": pdf["n"], "clean": [consistent_spelling(t) for t in pdf["token"]], "shape": shape})
 
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,9 +240,9 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     clean = pdf[pdf["clean"]]
     for t, n in zip(clean["token"], clean["n"]):
         trie.add(t, int(n))
-    dirty = list(pdf.loc[~pdf["clean"], "token"])
-    found = [trie.nearest(t) for t in dirty]
-    return pd.DataFrame({"token": dirty, "spelling": [by_table(t) if f is None else f for t, f in zip(dirty, found)], "in_vocabulary": [f is not None for f in found]})
+    found = [trie.nearest(t) for t in pdf["token"]]
+    spelling = [f if f is not None else t if ok else by_table(t) for t, f, ok in zip(pdf["token"], found, pdf["clean"])]
+    return pd.DataFrame({"token": list(pdf["token"]), "spelling": spelling, "in_vocabulary": [f is not None for f in found]})
 
 
 def _tokens(col):
@@ -195,13 +250,14 @@ def _tokens(col):
 
 
 def spellings(values: DataFrame) -> DataFrame:
-    """values(value) -> (token, spelling, in_vocabulary) of every token that isn't written consistently."""
+    """values(value) -> (token, spelling, in_vocabulary) of every token whose canonical spelling is another."""
     counted = values.select(F.explode(_tokens(F.col("value"))).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
     marked = written(counted.mapInPandas(_mark, "token string, n long, clean boolean, shape long"), "vocabulary")
     shards = -(-marked.count() // TOKENS_PER_SHARD) or 1
     marked = marked.withColumn("shard", F.pmod(F.xxhash64("shape"), F.lit(shards)))
-    needed = marked.join(marked.where("not clean").select("shape").distinct(), "shape", "left_semi")
-    return needed.groupBy("shard").applyInPandas(lambda pdf: _resolve(pdf), "token string, spelling string, in_vocabulary boolean")
+    several = marked.groupBy("shape").agg(F.count("*").alias("k"), F.min("clean").alias("all_clean")).where("k > 1 or not all_clean").select("shape")
+    needed = marked.join(several, "shape", "left_semi")
+    return needed.groupBy("shard").applyInPandas(lambda pdf: _resolve(pdf), "token string, spelling string, in_vocabulary boolean").where("token <> spelling")
 
 
 def canonical_values(values: DataFrame) -> DataFrame:

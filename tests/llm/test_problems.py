@@ -40,6 +40,29 @@ def test_p1_trie_takes_the_frequent_spelling_and_respects_the_budget():
     assert trie.nearest("pdx") is None and trie.nearest("pdx", 1.0) == "pdf" and trie.nearest("Pdf") is None
 
 
+def test_p1_costs_are_weighted():
+    trie = lookalike.Trie()
+    for word, n in (("Москва", 4), ("résumé", 3), ("report", 9), ("入口", 2)):
+        trie.add(word, n)
+    assert trie.nearest("Mocква") == "Москва" and trie.nearest("入ロ") == "入口" and trie.nearest("𝐫𝐞𝐩𝐨𝐫𝐭") == "report"
+    assert trie.nearest("Report") is None and trie.nearest("Report", lookalike.MINOR) == "report" and trie.nearest("repord", lookalike.MINOR) is None
+    assert trie.nearest("resumé") is None and trie.nearest("resumé", lookalike.MINOR) == "résumé" and trie.nearest("reprt", 1.0) == "report" and trie.nearest("repoort", 1.0) == "report"
+
+
+def test_p1_rows_come_through_the_automaton(spark, monkeypatch):
+    """The canonical spelling is the vocabulary's, in its own script; without the walk these pairs are lost."""
+    titles = ["Москва план", "Москва план", "Mосква план", "入口 안내", "入ロ 안내", "PDF파일", "РDF파일", "МОСТ", "MOCT"]
+    found = lambda: {(r["doc_id_a"], r["doc_id_b"]) for r in lookalike.alike_pairs(names(spark, titles)).where("field_name = 'title'").collect()}
+    assert found() == {(0, 2), (1, 2), (3, 4), (5, 6), (7, 8)}
+    back = {r["doc_id"]: r["title"] for r in lookalike.consistent(names(spark, titles)).collect()}
+    assert back[2] == titles[0] and back[4] == titles[3] and back[6] == titles[5] and back[7] == back[8]
+    assert lookalike.consistent_spelling("Москва") and not lookalike.consistent_spelling("Mосква") and lookalike.consistent_spelling("PDF파일") and not lookalike.consistent_spelling("ＰDF")
+    rows = pd.DataFrame({"token": ["Москва", "Mосква"], "n": [2, 1], "clean": [True, False]})
+    assert lookalike._resolve(rows)["spelling"].tolist() == ["Москва", "Москва"]
+    monkeypatch.setattr(lookalike.Trie, "nearest", lambda self, token, budget=0.0: None)
+    assert lookalike._resolve(rows)["spelling"].nunique() == 2
+
+
 # ---- 2: overlaps between splits ----
 
 DOCS = "doc_id long, text string, source string, split string, fp long, term string, owner long"
@@ -81,6 +104,51 @@ def test_p2_pairs_match_brute_force(spark):
     assert overlap.found(docs2(spark, rows).limit(0)).count() == 0
 
 
+def test_p2_bound_keeps_every_pair_with_repeated_shingles(spark):
+    """Vectors with repeats and uneven rarity: no pair of cosine 0.8 or more is pruned."""
+    rng = np.random.default_rng(7)
+    weight = rng.integers(1, 256, size=overlap.CELLS).astype(np.uint8)
+    pool = rng.integers(0, 2**63, size=60).astype(np.uint64)
+    vectors = []
+    for _ in range(120):
+        terms = np.sort(rng.choice(pool[rng.integers(0, 3) * 20 :][:20], size=16, replace=False))
+        vectors.append((terms, np.where(rng.random(16) < 0.5, 1, rng.integers(1, 40, size=16))))
+    rows = []
+    lists = [overlap.listed(t, k, weight, 0.8) for t, k in vectors]
+    for i in range(60):
+        for j in range(60, 120):
+            _, x, y = np.intersect1d(lists[i][0], lists[j][0], return_indices=True)
+            rows += [(i, j, int(a), int(b)) for a, b in zip(lists[i][1][x].view(np.int64), lists[j][1][y].view(np.int64))]
+    got = {(r["fa"], r["fb"]) for r in overlap.bounded(spark.createDataFrame(rows, "fa long, fb long, xa long, xb long"), 0.8).collect()}
+    want = set()
+    for i in range(60):
+        for j in range(60, 120):
+            _, x, y = np.intersect1d(vectors[i][0], vectors[j][0], return_indices=True)
+            if np.dot(overlap.vector(*vectors[i], weight)[x], overlap.vector(*vectors[j], weight)[y]) >= 0.8:
+                want.add((i, j))
+    assert len(want) > 30 and want <= got and len(got) < 3600
+
+
+def test_p2_hot_terms_and_report_by_classes(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_TEXTS", 3)
+    rng = random.Random(11)
+    clause = " ".join(f"조항{i}" for i in range(60))
+    rows = [(i, clause + (" 끝말" if i % 3 else ""), ("DEV", "REGRESSION", "FINAL_HOLDOUT")[i % 3 if i % 5 else 0]) for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choice("가나다라마바사") + str(rng.randrange(99)) for _ in range(50)), "DEV") for i in range(20)]
+    docs = docs2(spark, rows)
+    pairs = overlap.cross_split_pairs(docs).toPandas()
+    dev = {i for i, t, s in rows if s == "DEV" and i < 100}
+    assert set(zip(pairs.dev_id, pairs.other_id)) == {(a, b) for a in dev for b in set(range(40)) - dev} and len(pairs) == len(dev) * (40 - len(dev))
+    want = pairs.groupby(["split", "source"]).agg(n_pairs=("dev_id", "size"), n_evaluation_docs=("other_id", "nunique"), n_dev_docs=("dev_id", "nunique"))
+    got = overlap.report(docs).toPandas().set_index(["split", "source"]).sort_index()
+    assert got[want.columns].equals(want.sort_index().astype(got[want.columns].dtypes.to_dict()))
+
+
+def test_p2_contracted_forms_are_one_word():
+    assert overlap.word_of("제출하여야") == overlap.word_of("제출해야") and overlap.word_of("되어") == overlap.word_of("돼") and overlap.word_of("보아서") == overlap.word_of("봐서")
+    assert overlap.word_of("하였다") == overlap.word_of("했다") and overlap.word_of("가나") != overlap.word_of("가너")
+
+
 # ---- 3: scan noise ----
 
 
@@ -233,6 +301,49 @@ def test_p4_disentangles_two_talks_of_a_channel(spark):
     assert got[3] == got[1] and got[4] == got[2] and got[1] != got[2]
 
 
+def two_talks(spark, gap=5):
+    """Two conversations interleaved in the channel of one document."""
+    t = lambda s: f"2026-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    u, a = "user", "assistant"
+    return chat_rows(spark, {
+        1: [(u, "검수 조서는 언제 내나요", t(0), "USER", "D"), (a, "검수 조서는 3일 안에 냅니다", t(4 * gap), "BOT", "D")],
+        2: [(u, "예산 분석 비용은 얼마인가요", t(gap), "USER", "D"), (a, "예산 분석 비용은 5만원입니다", t(3 * gap), "BOT", "D")],
+        3: [(u, "서버 이중화는 언제인가요", t(2 * gap), "USER", "D")],
+    })
+
+
+def test_p4_rows_come_from_the_link_trees(spark, monkeypatch):
+    """The score chooses the parents and the trees the conversations: without the score other ones are dropped."""
+    h, c = two_talks(spark)
+    dropped = lambda: {r["conv_id"] for r in threads.broken(h, c).collect()}
+    assert dropped() == {3}
+    monkeypatch.setattr(threads, "W_NAMED", 0.0)
+    for name in ("W_MENTION", "W_OVERLAP"):
+        monkeypatch.setattr(threads, name, 0.0)
+    assert dropped() != {3}
+    monkeypatch.undo()
+    monkeypatch.setattr(threads, "W_NAMED", 0.0)  # what is said tells the talks apart too
+    monkeypatch.setattr(threads, "W_OVERLAP", 9.0)
+    assert dropped() == {3}
+
+
+def test_p4_late_replies_and_busy_channels_keep_their_links(spark):
+    """More than REACH messages between question and answer, hours apart: conversations stay whole."""
+    u, a = "user", "assistant"
+    at = lambda k: f"2026-01-01 {k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}"
+    convs = {k: [(u, f"질문 {k}", at(k), "USER", "D"), (a, f"답 {k}", at(40_000 + k), "BOT", "D")] for k in range(60)}
+    convs[99] = [(u, "시각 없는 질문", "?", "USER", "D"), (a, "시각 없는 답", None, "BOT", "D")]
+    h, c = chat_rows(spark, convs)
+    assert threads.broken(h, c).count() == 0
+    kept = threads.conversations(h, c).toPandas()
+    answers = kept[kept.speaker == "assistant"]
+    assert len(answers) == 61 and (answers.parent_id == answers.chat_id - 1).all()
+
+
+def test_p4_candidates_beyond_reach_cannot_win():
+    assert threads.W_STEP * np.log1p(threads.REACH) >= threads.W_MENTION + threads.W_OVERLAP
+
+
 # ---- 5: splits ----
 
 D5 = "doc_id long, content_group_id string, content_hash string, split string, component string, size int, bucket int"
