@@ -3,7 +3,8 @@
 Method: components by parallel hooking and shortcutting over a parent table that is
 joined with its edges, until no parent changes; then subset-sum bitsets over the
 multiplicities of component sizes choose how many components of each size every
-evaluation split gets, so that the totals come closest to the target shares.
+evaluation split gets, so that the totals come closest to the target shares, exactly and
+at any number of records.
 
 Records are related through content_group_id and content_hash.  The graph is built on
 the keys, not the records: keys are vertices, and a record with both keys is an edge,
@@ -18,6 +19,8 @@ one component; empty tables give empty results.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,8 +30,6 @@ from docloom.operators.graph import components
 from docloom.session import written
 
 BUCKETS = 4096
-#: Widest bitset: above so many records, sizes are counted in units of 2, 4, 8 ... records.
-MAX_BITS = 1 << 26
 
 
 def related(documents: DataFrame) -> DataFrame:
@@ -57,52 +58,87 @@ def torn(records: DataFrame) -> DataFrame:
     return records.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")).join(wide.select("component", salts), ["component", "salt"]).select("doc_id")
 
 
+def _advance(bits: int, blocks: list[tuple[int, int]], unit: int, bound: int) -> int:
+    for size, take in blocks:
+        bits |= (bits << (size * take // unit)) & bound
+    return bits
+
+
+def _read_back(bits: int, blocks: list[tuple[int, int]], at: int, unit: int, bound: int, chosen: dict[int, int]) -> int:
+    """Which blocks make up the reachable total `at`; halves are read back in turn, so only log2(blocks) bitsets are held."""
+    if len(blocks) == 1:
+        (size, take), = blocks
+        if (bits >> at) & 1:
+            return at
+        chosen[size] = chosen.get(size, 0) + take
+        return at - size * take // unit
+    half = len(blocks) // 2
+    at = _read_back(_advance(bits, blocks[:half], unit, bound), blocks[half:], at, unit, bound, chosen)
+    return _read_back(bits, blocks[:half], at, unit, bound, chosen)
+
+
+def _down(sizes: dict[int, int], goal: int) -> tuple[dict[int, int], int]:
+    """Largest sizes first, as many as fit: (taken, what is left of the goal)."""
+    taken = {}
+    for size in sorted(sizes, reverse=True):
+        k = min(sizes[size], goal // size)
+        if k:
+            taken[size], goal = k, goal - k * size
+    return taken, goal
+
+
+def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many components of each size give the total closest to the target, the smaller total if two are.
+
+    Sizes from the smallest on, as long as none exceeds the sum of those before by more
+    than 1, reach every total up to their sum C.  So only totals of the other sizes are
+    searched: any that lies at most C below the target is exact.  Largest first finds one
+    mostly; else a subset-sum bitset over their multiplicities, in units of the sizes'
+    common divisor, finds the closest.  It is exact at any size and holds
+    log2(blocks) + 2 bitsets of about target / divisor bits.
+    """
+    small, reach, large = {}, 0, {}
+    for size in sorted(sizes):
+        if not large and size <= reach + 1:
+            small[size], reach = sizes[size], reach + size * sizes[size]
+        else:
+            large[size] = sizes[size]
+    taken, short = _down(large, target)
+    if short > reach and large:
+        best = short - reach  # the gap of that choice: totals farther above need no bit
+        unit = gcd(*large)
+        blocks = []
+        for size in sorted(large, reverse=True):
+            k, step = min(large[size], (target + best) // size), 1
+            while k > 0:
+                take = min(step, k)
+                blocks.append((size, take))
+                k -= take
+                step *= 2
+        if blocks:
+            bound = (1 << ((target + best) // unit + 1)) - 1
+            bits, goal = _advance(1, blocks, unit, bound), target // unit
+            below = (bits & ((1 << (goal + 1)) - 1)).bit_length() - 1
+            over = bits >> (goal + 1)
+            above = goal + (over & -over).bit_length() if over else None
+            gap = max(0, target - below * unit - reach)
+            at = below if above is None or gap <= above * unit - target else above
+            taken = {}
+            _read_back(1, blocks, at, unit, bound, taken)
+            short = max(0, target - at * unit)
+    rest, _ = _down(small, min(short, reach))
+    return taken | rest
+
+
 def choose(sizes: dict[int, int], shares: dict[str, float]) -> dict[str, dict[int, int]]:
     """For each split but the first, how many components of each size it takes.
 
     sizes: component size -> number of such components; the number of different sizes
-    is below the square root of twice the records, whatever their number.  Bit t of the
-    running bitset says that some choice of components totals t; the bitset before each
-    size's block is kept so that the choice can be read back.  Ties: the smaller total.
+    is below the square root of twice the records, whatever their number.
     """
     total, left, out = sum(s * k for s, k in sizes.items()), dict(sizes), {}
-    unit = 1
-    while total // unit > MAX_BITS:
-        unit *= 2
     for name in list(shares)[1:]:
-        target = round(total * shares[name])
-        blocks = []
-        for s in sorted(left, reverse=True):
-            if s // unit == 0 and unit > 1:
-                continue
-            k, step = min(left[s], target // s + 1), 1
-            while k > 0:
-                take = min(step, k)
-                blocks.append((s, take))
-                k -= take
-                step *= 2
-        bound, history, bits = (1 << (2 * target // unit + 2)) - 1, [], 1
-        for s, take in blocks:
-            history.append(bits)
-            bits |= (bits << (s * take // unit)) & bound
-        goal = target // unit
-        below = (bits & ((1 << (goal + 1)) - 1)).bit_length() - 1
-        above_bits = bits >> (goal + 1)
-        above = goal + 1 + (above_bits & -above_bits).bit_length() - 1 if above_bits else None
-        at = below if above is None or goal - below <= above - goal else above
-        chosen: dict[int, int] = {}
-        for (s, take), before in zip(reversed(blocks), reversed(history)):
-            if not (before >> at) & 1:
-                at -= s * take // unit
-                chosen[s] = chosen.get(s, 0) + take
-        if unit > 1:  # what rounding to units left open is filled with the smallest components
-            short = target - sum(s * k for s, k in chosen.items())
-            for s in sorted(left):
-                more = max(0, min(left[s] - chosen.get(s, 0), short // s))
-                if more:
-                    chosen[s] = chosen.get(s, 0) + more
-                    short -= more * s
-        out[name] = chosen
+        out[name] = chosen = closest(left, round(total * shares[name]))
         left = {s: k - chosen.get(s, 0) for s, k in left.items() if k > chosen.get(s, 0)}
     return out
 
