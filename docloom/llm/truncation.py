@@ -230,7 +230,7 @@ def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, ..., posterior, ending, log_odds, cut) for every non-blank text."""
     texts = documents.where(F.length(F.trim("text")) > 0).select("doc_id", "source", "text", F.char_length("text").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("n_bytes"))
     counts = texts.select("text").mapInPandas(_count_words, "what string, kind string, word string, n long").groupBy("what", "kind", "word").agg(F.sum("n").alias("n"))
-    counts = written(counts.where("n > 1 or what = 'end'"), "words")
+    counts = written(counts, "words")
     ends = written(texts.mapInPandas(_endings, "doc_id long, source string, n_chars long, n_bytes long, kind string, word string, line string, closed boolean, mark boolean"), "endings")
     limits = written(length_limits(ends.select("source", "n_chars", "n_bytes")), "limits")
     # Only words that end some text are looked up, once each.
