@@ -21,6 +21,18 @@ from docloom.session import canonical_id
 
 ANSWER = StructType([StructField("answer", StringType()), StructField("abstained", BooleanType()), StructField("sources", StringType()), StructField("parse_ok", BooleanType())])
 
+# Spellings of the speakers in roles and senders.
+SPEAKERS = {"user": ("user", "human", "사용자"), "assistant": ("assistant", "ai", "bot", "어시스턴트"), "system": ("system", "시스템")}
+
+
+def spoken_by(col):
+    """The speaker that a role or sender names in any spelling, else null."""
+    name = F.lower(F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    out = F.lit(None).cast("string")
+    for who, spellings in SPEAKERS.items():
+        out = F.when(name.isin(*spellings), who).otherwise(out)
+    return out
+
 
 def chat_time(col):
     """Any of the stored date formats as a timestamp; null for others."""
@@ -35,7 +47,7 @@ def history_window(messages: DataFrame, max_turns: int = 3, max_chars: int = 400
     """
     rows = messages.where("conv_id is not null").select("conv_id", "pos", F.lower(strip(F.col("role"))).alias("role"), strip(F.col("content")).alias("content"))
     rows = rows.where(F.col("role").isin("user", "assistant") & (F.col("content") != ""))
-    back = W.partitionBy("conv_id").orderBy(F.desc("pos"))
+    back = W.partitionBy("conv_id").orderBy(F.desc("pos"), F.desc("role"), F.desc("content"))
     rows = rows.withColumn("rn", F.row_number().over(back)).withColumn("chars", F.sum(F.length("content")).over(back.rowsBetween(W.unboundedPreceding, W.currentRow)))
     rows = rows.where((F.col("rn") <= 2 * max_turns) & (F.col("chars") <= max_chars))
     first_user = F.min(F.when(F.col("role") == "user", F.col("pos"))).over(W.partitionBy("conv_id"))
@@ -48,6 +60,22 @@ def last_chat(documents: DataFrame, chat: DataFrame) -> DataFrame:
     return documents.select("doc_id", canonical_id(F.col("document_id")).alias("k")).join(per, "k", "left").select("doc_id", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), F.unix_timestamp("last_at").alias("last_at"), "last_id")
 
 
+def pages(chat: DataFrame, size: int = 30) -> DataFrame:
+    """(k, page, place, id): every document's messages on numbered pages, newest first.
+
+    Messages are numbered within the days of a document and days by running counts, so no
+    document's messages are sorted in one task.
+    """
+    at = chat_time(F.col("chatdate"))
+    rows = chat.where("documentid is not null").select(canonical_id(F.col("documentid")).alias("k"), at.alias("at"), "id")
+    rows = rows.withColumn("part", F.struct(F.col("at").isNull().alias("late"), F.coalesce(-F.unix_date(F.to_date("at")), F.floor(-F.col("id") / 8192).cast("int")).alias("day")))
+    counts = rows.groupBy("k", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(W.partitionBy("k", "part").orderBy(F.desc_nulls_last("at"), F.desc("id")))
+    placed = rows.withColumn("inner", inner).join(counts.select("k", "part", before.alias("before")), ["k", "part"]).withColumn("place", F.col("before") + F.col("inner") - 1)
+    return placed.select("k", F.floor(F.col("place") / size).alias("page"), (F.col("place") % size).alias("place"), "id")
+
+
 def page(chat: DataFrame, document: str, number: int, size: int = 30) -> DataFrame:
     """One page of a document's messages, newest first."""
     rows = chat.where(canonical_id(F.col("documentid")) == document.strip().upper())

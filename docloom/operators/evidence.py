@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from docloom.functions.text import content_key
 from docloom.operators.quality import keywords
 from docloom.operators.retrieval import bm25, top
 from docloom.session import canonical_id
 
+SALTS = 16
+
 
 def trace(chunks: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """(chunk_id, n_refs, n_blocks, n_same_document, document_found): how far each chunk can be traced back."""
@@ -59,11 +62,33 @@ def self_retrieval(chunks: DataFrame, k: int = 10) -> DataFrame:
 def siblings(inventory: DataFrame) -> DataFrame:
     """(source_document_id, n_siblings, first_sibling): the other sources of the same document."""
     rows = inventory.where("canonical_document_id is not null").select("source_document_id", canonical_id(F.col("canonical_document_id")).alias("k")).distinct()
-    per = rows.groupBy("k").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("source_document_id")), 1, 2).alias("two"))
+    # The two smallest per salt, then per document: no group holds all sources of a document.
+    salt = F.pmod(F.xxhash64("source_document_id"), F.lit(SALTS))
+    near = rows.withColumn("r", F.row_number().over(W.partitionBy("k", salt).orderBy("source_document_id"))).where("r <= 2")
+    two = near.groupBy("k").agg(F.slice(F.array_sort(F.collect_list("source_document_id")), 1, 2).alias("two"))  # at most 2 x SALTS
+    per = rows.groupBy("k").agg(F.count("*").alias("n")).join(two, "k")
     x = rows.join(per, "k")
     return x.select("source_document_id", (F.col("n") - 1).alias("n_siblings"), F.when(F.element_at("two", 1) != F.col("source_document_id"), F.element_at("two", 1)).otherwise(F.try_element_at("two", F.lit(2))).alias("first_sibling"))
 
 
+def capped_benchmark(asked: DataFrame, total: int = 1000) -> DataFrame:
+    """asked(query_id, scope, ...) -> at most total // documents questions of each document (one at least), total in all.
+
+    A sampling operator: the first by id are kept, documents take turns.
+    """
+    n = asked.agg(F.countDistinct("scope").alias("n_scopes"))
+    cap = F.greatest(F.lit(1), F.floor(F.lit(total) / F.greatest(F.lit(1), F.col("n_scopes"))))
+    turn = asked.withColumn("turn", F.row_number().over(W.partitionBy("scope").orderBy("query_id")))
+    return turn.crossJoin(F.broadcast(n)).where(F.col("turn") <= cap).orderBy("turn", "scope").limit(total).drop("n_scopes")
+
+
+def chunk_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(chunk_id, page_from, page_to): first and last page of each chunk's blocks, null where none has a page."""
+    refs = chunks.select("chunk_id", F.explode_outer(F.array_distinct(F.transform("block_ids", lambda x: canonical_id(x)))).alias("bk"))
+    pages = blocks.where("block_id is not null").groupBy(canonical_id(F.col("block_id")).alias("bk")).agg(F.min("source_page").alias("lo"), F.max("source_page").alias("hi"))
+    return refs.join(pages, "bk", "left").groupBy("chunk_id").agg(F.min("lo").alias("page_from"), F.max("hi").alias("page_to"))
+
+
 def seal(documents: DataFrame, split: str = "FINAL_HOLDOUT") -> DataFrame:
     """(document_key, file_type, content_digest) of a split that is kept apart, without its texts."""
     rows = documents.where(canonical_id(F.col("split")) == split)

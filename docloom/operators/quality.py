@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docloom.operators.retrieval import terms
+from docloom.session import canonical_id
 
 # Fixed value: words too common in this domain to be terms.
 STOPWORDS = ("사업", "시스템", "제안", "요청", "관련", "내용", "경우", "기관", "업무", "통해", "위해", "대한", "따라", "등", "및", "수", "함")
@@ -38,17 +39,39 @@ def keywords(chunks: DataFrame, k: int = 4) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("tf"), "pos"))).where(F.col("rank") <= k).select("chunk_id", "term", "tf", "rank")
 
 
+def medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group..., n, median): exact, from counts per value and their running totals, so no group's values are gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    keys = [F.col(c) for c in group] or [F.lit(0)]
+    upto = F.sum("_k").over(W.partitionBy(*keys).orderBy("_v"))
+    placed = counts.select(*group, "_v", upto.alias("_upto"), (upto - F.col("_k")).alias("_from"), F.sum("_k").over(W.partitionBy(*keys)).alias("_n"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    at = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_upto")), F.col("_v")))
+    return placed.groupBy(*group).agg(F.max("_n").alias("n"), ((at(low) + at(high)) / 2.0).alias("median"))
+
+
 def quality_report(documents: DataFrame) -> DataFrame:
     """One row: counts, length statistics and checks of the documents."""
     n = F.length("text")
+    middle = medians(documents.select(n.alias("n_text")), [], "n_text").select(F.col("median").alias("median_chars"))
     return documents.agg(
-        F.count("*").alias("n_documents"), F.countDistinct("doc_id").alias("n_ids"), F.min(n).alias("min_chars"), F.percentile(n, 0.5).alias("median_chars"), F.max(n).alias("max_chars"),
+        F.count("*").alias("n_documents"), F.countDistinct("doc_id").alias("n_ids"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"),
         F.sum(F.col("split").isNull().cast("int")).alias("null_splits"), F.sum(F.col("content_hash").isNull().cast("int")).alias("null_hashes"),
-        F.bool_and(n == F.col("n_chars")).alias("lengths_agree"), F.bool_and(F.col("text") != "").alias("no_empty_text"))
+        F.bool_and(n == F.col("n_chars")).alias("lengths_agree"), F.bool_and(F.col("text") != "").alias("no_empty_text")).join(F.broadcast(middle), F.lit(True), "left")
+
+
+def block_histogram(blocks: DataFrame) -> DataFrame:
+    """(block_type, n_blocks, n_documents, median_chars) over all blocks."""
+    rows = blocks.select("block_type", canonical_id(F.col("document_id")).alias("k"), F.length("text_normalized").alias("chars"))
+    per = rows.groupBy("block_type").agg(F.count("*").alias("n_blocks"), F.countDistinct("k").alias("n_documents"))
+    middle = medians(rows, ["block_type"], "chars").select(F.col("block_type").alias("_t"), F.col("median").alias("median_chars"))
+    return per.join(middle, F.col("block_type").eqNullSafe(F.col("_t")), "left").drop("_t")
 
 
 def latency(events: DataFrame, group: str, value: str) -> DataFrame:
-    return events.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.max(value).alias("max"))
+    per = events.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"))
+    middle = medians(events, [group], value).select(F.col(group).alias("_g"), F.round("median", 6).alias("median"))
+    return per.join(middle, F.col(group).eqNullSafe(F.col("_g"))).select(group, "n", "mean", "median", "max")
 
 
 def differing_settings(runs: DataFrame, keys: list[str]) -> DataFrame:

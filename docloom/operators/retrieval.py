@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docloom.session import written
+
 K1, B = 1.5, 0.75
 RRF_K = 60
 #: Statistics of one row are joined by broadcast; term statistics only by size.
@@ -25,33 +27,74 @@ def terms(col):
     return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
 
 
-def postings(chunks: DataFrame, tokens=None) -> DataFrame:
-    """chunks(chunk_id, scope, text) -> (scope, chunk_id, term, tf, len)."""
-    rows = chunks.select("scope", "chunk_id", (tokens or terms)(F.col("text")).alias("t"))
-    return rows.select("scope", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("scope", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+class Corpus:
+    """Postings and statistics of chunks(chunk_id, scope, text), tokenised once and written."""
 
+    def __init__(self, chunks: DataFrame, tokens=None):
+        self.tokens = tokens or terms
+        counted = written(chunks.select("scope", "chunk_id", self.tokens(F.col("text")).alias("t")), "tokens")
+        self.lengths = counted.select("scope", "chunk_id", F.size("t").alias("len"))
+        exploded = counted.select("scope", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+        #: (scope, chunk_id, len, term, tf)
+        self.postings = written(exploded.groupBy("scope", "chunk_id", "len", "term").agg(F.count("*").alias("tf")), "postings")
+        #: One row: chunks, and their mean length.
+        self.size = self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        #: (term, idf)
+        self.idf = df.crossJoin(F.broadcast(self.size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
-def term_stats(posts: DataFrame, chunks: DataFrame, tokens=None) -> tuple[DataFrame, DataFrame]:
-    """Inverse document frequency per term, and one row with the number of chunks and their mean length."""
-    corpus = chunks.agg(F.count("*").alias("n"), F.avg(F.size((tokens or terms)(F.col("text")))).alias("avg_len"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return idf, corpus
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, scope, term, tf) of questions; those blank or without scope ask nothing."""
+        rows = queries.where("scope is not null and question is not null").select("query_id", "scope", F.explode(self.tokens(F.col("question"))).alias("term"))
+        return rows.groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, tokens=None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, tokens=None, corpus: Corpus | None = None) -> DataFrame:
     """queries(query_id, scope, question) -> (query_id, scope, chunk_id, score): scores above zero in the query's scope.
 
     Rarity is that of the whole corpus; the chunks scored are only the scope's.
     """
-    posts = postings(chunks, tokens)
-    idf, corpus = term_stats(posts, chunks, tokens)
-    asked = queries.select("query_id", "scope", F.explode(F.array_distinct((tokens or terms)(F.col("question")))).alias("term"))
-    met = asked.join(posts, ["scope", "term"]).join(idf, "term").crossJoin(F.broadcast(corpus.select("avg_len")))
+    corpus = corpus or Corpus(chunks, tokens)
+    met = corpus.asked(queries).drop("tf").join(corpus.postings, ["scope", "term"]).join(corpus.idf, "term").crossJoin(F.broadcast(corpus.size.select("avg_len")))
     norm = F.when(F.col("avg_len") > 0, K1 * (1 - B + B * F.col("len") / F.col("avg_len"))).otherwise(K1)
     return met.groupBy("query_id", "scope", "chunk_id").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score")).where("score > 0")
 
 
+def _folded(terms_of: DataFrame, keys: list[str], corpus: Corpus, dimensions: int) -> DataFrame:
+    """rows(keys, term, tf) -> (keys, vector): tf x idf summed over hashed dimensions."""
+    cell = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("int"), F.lit(dimensions))
+    cells = terms_of.join(corpus.idf, "term").groupBy(*keys, cell.alias("cell")).agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+    rows = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("m"))  # at most `dimensions` entries
+    return rows.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def hashed_vectors(corpus: Corpus, queries: DataFrame, dimensions: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(queries(query_id, scope, vector), chunks(item_id, scope, vector)): vectors for retrieval where no embedding model is at hand.
+
+    Terms of a question that the corpus lacks have no weight.
+    """
+    chunks = _folded(corpus.postings.select("scope", "chunk_id", "term", "tf"), ["scope", "chunk_id"], corpus, dimensions).withColumnRenamed("chunk_id", "item_id")
+    return _folded(corpus.asked(queries), ["query_id", "scope"], corpus, dimensions), chunks
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, mode: str = "hybrid", fan_out: int = 8, vectors=None, tokens=None) -> DataFrame:
+    """queries(query_id, scope, question), chunks(chunk_id, scope, text) -> (query_id, chunk_id, fused, rank, rank_a, rank_b), the k best in the scope.
+
+    mode: dense, sparse, or hybrid, which takes the k x fan_out best of both and fuses
+    their ranks, dense first.  vectors is (queries, chunks) with vectors, by default hashed
+    term vectors.
+    """
+    corpus = Corpus(chunks, tokens)
+    none = written(queries.limit(0).select("query_id", F.lit("").alias("chunk_id"), F.lit(0).alias("rank")), "none")
+    n = k * fan_out if mode == "hybrid" else k
+    near = sparse = none
+    if mode in ("dense", "hybrid"):
+        near = block_topk(*(vectors or hashed_vectors(corpus, queries)), n).withColumnRenamed("item_id", "chunk_id")
+    if mode in ("sparse", "hybrid"):
+        sparse = top(bm25(queries, chunks, corpus=corpus), n)
+    return fuse(near, sparse).where(F.col("rank") <= k)
+
+
 def top(hits: DataFrame, k: int, by: str = "score", query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """The k best rows of each query with their rank."""
     w = W.partitionBy(query).orderBy(F.desc(F.round(by, 9)), item)
@@ -73,6 +116,49 @@ def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return a.join(b, "scope").select("query_id", "item_id", "va", "vb").mapInPandas(_cosines, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double")
 
 
+#: Vectors in a block; two blocks are multiplied at a time.
+BLOCK_ROWS = 2_000
+
+
+def _blocks(rows: DataFrame, id_col: str) -> DataFrame:
+    """(scope, block, n_blocks, ids, vectors): the vectors of a scope in blocks of about BLOCK_ROWS."""
+    rows = rows.where("vector is not null and scope is not null").select("scope", id_col, F.col("vector").cast("array<double>").alias("vector"))
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks"))
+    placed = rows.join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64(id_col), F.col("n_blocks")).cast("int"))
+    return placed.groupBy("scope", "block", "n_blocks").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "vector")).alias("rows"))
+
+
+def _block_products(k):
+    def run(batches):
+        for pdf in batches:
+            for qs, vs in zip(pdf["q"], pdf["v"]):
+                a, b = (np.stack([r["vector"] for r in x]).astype(np.float64) for x in (qs, vs))
+                ids = np.array([r["id"] for r in vs])
+                a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
+                by_id = np.argsort(ids, kind="stable")
+                cos = np.round(a @ b.T, 9)[:, by_id]
+                ids = ids[by_id]
+                first = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # ties to the smaller id
+                yield pd.DataFrame({"query_id": np.repeat(np.array([r["id"] for r in qs]), first.shape[1]), "item_id": ids[first].ravel(), "cosine": np.take_along_axis(cos, first, axis=1).ravel()})
+
+    return run
+
+
+def block_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """queries(query_id, scope, vector), vectors(item_id, scope, vector) -> (query_id, item_id, cosine, rank): exact k nearest in the scope.
+
+    Blocks of queries meet blocks of vectors as matrices, each pair by itself, so a scope
+    that holds any share of the rows is spread over (scope, block); only k rows of a query
+    leave a pair.
+    """
+    v = _blocks(vectors, "item_id")
+    counts = v.select("scope", "n_blocks").distinct()
+    q = _blocks(queries, "query_id").select("scope", F.col("rows").alias("q")).join(counts, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+    pairs = q.join(v.select("scope", "block", F.col("rows").alias("v")), ["scope", "block"]).select("q", "v")
+    kinds = dict(queries.dtypes) | dict(vectors.dtypes)
+    return top(pairs.mapInPandas(_block_products(k), f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double"), k, "cosine", item="item_id")
+
+
 def fuse(first: DataFrame, second: DataFrame, weights=(1.0, 0.3), k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal rank fusion of two rankings (query_id, chunk_id, rank from 1); ties go to the first ranking's order."""
     a = first.select("query_id", "chunk_id", F.col("rank").alias("rank_a"))
@@ -94,6 +180,20 @@ def blend(scores: DataFrame, alpha: float = 0.55) -> DataFrame:
     return scores.join(span, "query_id").select("query_id", "chunk_id", (alpha * scaled("dense") + (1 - alpha) * scaled("sparse")).alias("score"))
 
 
+def scope_violations(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of hits outside the document that the question was asked about."""
+    asked, known = queries.select("query_id", F.col("scope").alias("_asked")), chunks.select("chunk_id", F.col("scope").alias("_of"))
+    return hits.select("query_id", "chunk_id").join(asked, "query_id").join(known, "chunk_id").where("_asked <> _of").select("query_id", "chunk_id")
+
+
+def exported_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(question_id, selected_document_id, question, hits): each question with its hits in order; an unanswerable one has none."""
+    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("hits"))  # at most k each
+    none = F.array().cast("array<string>")
+    return queries.join(found, "query_id", "left").select(
+        F.col("query_id").alias("question_id"), F.col("scope").alias("selected_document_id"), "question", F.when(F.col("answerable"), F.coalesce("hits", none)).otherwise(none).alias("hits"))
+
+
 def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """hits(query_id, chunk_id, rank), gold(query_id, chunk_id, logic) -> per query hit, ndcg and rr at k.
 
@@ -114,7 +214,10 @@ def self_query(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     state: self, same (another item at distance below 1e-4) or other.
     """
-    best = dense(queries, vectors).groupBy("query_id").agg(F.max(F.struct(F.round("cosine", 9).alias("c"), (F.col("item_id") == F.col("query_id")).alias("me"), (-F.col("item_id")).alias("i"))).alias("t"))
+    own = queries.withColumnRenamed("query_id", "item_id").join(vectors.select("item_id", F.col("vector").alias("_v")), "item_id").select(F.col("item_id").alias("query_id"), "item_id", F.col("vector").alias("va"), F.col("_v").alias("vb"))
+    itself = own.mapInPandas(_cosines, f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(vectors.dtypes)['item_id']}, cosine double")
+    near = block_topk(queries, vectors, 1).select("query_id", "item_id", "cosine").unionByName(itself)
+    best = near.groupBy("query_id").agg(F.max(F.struct(F.round("cosine", 9).alias("c"), (F.col("item_id") == F.col("query_id")).alias("me"), (-F.col("item_id")).alias("i"))).alias("t"))
     state = F.when(-F.col("t.i") == F.col("query_id"), "self").when(1 - F.col("t.c") < 1e-4, "same").otherwise("other")
     return best.select("query_id", (-F.col("t.i")).alias("top_id"), F.round("t.c", 6).alias("cosine"), state.alias("state"))
 
@@ -122,36 +225,53 @@ def self_query(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 class CentroidIndex:
     """Approximate neighbours by inverted lists around k-means centres.
 
-    The centres are fitted on a seeded sample of at most SAMPLE vectors; every vector is
-    put into the list of its nearest centre, and a query looks into its `probes` nearest lists.
+    The centres, as many as the square root of the vectors (MOST_LISTS at most), are fitted
+    on a seeded sample of at most SAMPLE vectors; every vector is put into the list of its
+    nearest centre, and a query looks into its `probes` nearest lists.  `tune` sets probes
+    to the fewest that reach a recall for a sample of queries.
     """
 
-    SAMPLE = 50_000
+    SAMPLE, MOST_LISTS, TUNE = 50_000, 2_500, 200
 
-    def __init__(self, vectors: DataFrame, lists: int = 32, probes: int = 20, seed: int = 7):
+    def __init__(self, vectors: DataFrame, lists: int | None = None, probes: int = 8, seed: int = 7):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         known = vectors.where("vector is not null").select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
         n = known.count()
         some = known.sample(min(1.0, self.SAMPLE / max(1, n)), seed).limit(self.SAMPLE)
-        self.centres = np.array(KMeans(k=lists, seed=seed, maxIter=15).fit(some).clusterCenters())
-        self.probes = probes
+        self.centres = np.array(KMeans(k=lists or max(1, min(self.MOST_LISTS, round(n**0.5))), seed=seed, maxIter=15).fit(some).clusterCenters())
+        self.probes = min(probes, len(self.centres))
 
     def lists(self, vectors: DataFrame, id_col: str, nearest: int) -> DataFrame:
+        """(id, scope: list, vector, place): the vector in each of its nearest lists."""
         centres = self.centres
 
         def keys(batches):
             for pdf in batches:
-                v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                order = np.argsort(((v[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :nearest]
-                yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), order.shape[1]), "list": order.ravel()})
+                v = np.stack(pdf["vector"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, centres.shape[1]))
+                far = (centres**2).sum(axis=1)[None] - 2 * v @ centres.T
+                order = np.argsort(far, axis=1, kind="stable")[:, :nearest]
+                again = np.repeat(np.arange(len(pdf)), order.shape[1])
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[again], "scope": order.ravel(), "vector": pdf["vector"].to_numpy()[again], "place": np.tile(np.arange(order.shape[1]), len(pdf))})
 
-        return vectors.where("vector is not null").select(id_col, "vector").mapInPandas(keys, f"{id_col} long, list long")
+        kind = dict(vectors.dtypes)
+        return vectors.where("vector is not null").select(id_col, F.col("vector").cast("array<double>").alias("vector")).mapInPandas(keys, f"{id_col} {kind[id_col]}, scope long, vector array<double>, place int")
 
     def search(self, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-        """(query_id, item_id, cosine, rank): exact cosines over the items of the probed lists."""
-        q = self.lists(queries, "query_id", self.probes).join(queries.select("query_id", F.col("vector").alias("va")), "query_id")
-        x = self.lists(vectors, "item_id", 1).join(vectors.select("item_id", F.col("vector").alias("vb")), "item_id")
-        pairs = q.join(x, "list").select("query_id", "item_id", "va", "vb")
-        return top(pairs.mapInPandas(_cosines, "query_id long, item_id long, cosine double"), k, "cosine", item="item_id")
+        """(query_id, item_id, cosine, rank): exact cosines over the items of the probed lists, block by block."""
+        met = block_topk(self.lists(queries, "query_id", self.probes), self.lists(vectors, "item_id", 1), k)
+        return top(met.drop("rank"), k, "cosine", item="item_id")
+
+    def tune(self, queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float = 0.93) -> CentroidIndex:
+        """Fewest probes at which at least `recall` of the k nearest of at most TUNE queries lie in the probed lists."""
+        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(self.TUNE)
+        one = F.lit(0).alias("scope")
+        exact = block_topk(some.select("query_id", one, "vector"), vectors.select("item_id", one, "vector"), k).select("query_id", "item_id")
+        of_item = self.lists(vectors, "item_id", 1).select("item_id", "scope")
+        places = self.lists(some, "query_id", len(self.centres)).select("query_id", "scope", "place")
+        needed = exact.join(of_item, "item_id").join(places, ["query_id", "scope"]).groupBy("place").agg(F.count("*").alias("n")).orderBy("place").toPandas()  # a row per list
+        if len(needed):
+            share = needed["n"].cumsum() / needed["n"].sum()
+            self.probes = int(needed["place"][share >= recall].iloc[0]) + 1
+        return self

@@ -104,3 +104,31 @@ def require(broken: DataFrame) -> None:
     some = broken.limit(5).collect()
     if some:
         raise ValueError("validation failed: " + "; ".join(f"{r['check_name']} {r['record_id']}" for r in some))
+
+
+def combined(dataset: DataFrame, splits: DataFrame) -> DataFrame:
+    """Failures of the dataset and of its splits in one table, the latter's checks named split:..."""
+    return dataset.unionByName(splits.withColumn("check_name", F.concat(F.lit("split:"), F.regexp_replace("check_name", r"^split\.", ""))))
+
+
+def contract_failures(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(check_name, record_id) of records that break the contract between parser output and search: unique keys, texts, references."""
+    doc, block, chunk = F.col("document_id"), F.col("block_id"), F.col("chunk_id")
+    docs = documents.where("document_id is not null").select(canonical_id(doc).alias("dk"), F.lit(True).alias("known")).distinct()
+    owners = blocks.where("block_id is not null").groupBy(canonical_id(block).alias("bk")).agg(F.min(canonical_id(doc)).alias("owner"), F.lit(True).alias("there"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    refs = chunks.select("chunk_id", canonical_id(doc).alias("dk"), F.explode("block_ids").alias("b")).where("b is not null").withColumn("bk", canonical_id(F.col("b"))).join(owners, "bk", "left")
+    out = [
+        _each(documents, F.col("doc_id"), {
+            "documents.success": F.coalesce(F.upper(F.trim("parse_status")), F.lit("")) != "SUCCESS", "documents.empty_success": (F.upper(F.trim("parse_status")) == "SUCCESS") & blank(F.col("text")),
+            "documents.hash": blank(F.col("content_hash")), "documents.title": blank(F.col("title")), "documents.agency": blank(F.col("agency")), "documents.provenance": blank(F.col("source"))}),
+        _each(blocks, block, {"blocks.order": F.col("block_index").isNull()}),
+        _each(chunks, chunk, {"chunks.empty": blank(F.col("text"))}),
+        _each(blocks.withColumn("dk", canonical_id(doc)).join(docs, "dk", "left"), block, {"blocks.document": F.col("known").isNull()}),
+        _each(chunks.withColumn("dk", canonical_id(doc)).join(docs, "dk", "left"), chunk, {"chunks.document": F.col("known").isNull()}),
+        _each(refs, chunk, {"chunks.blocks": F.col("there").isNull(), "chunks.one_document": F.col("owner") != F.col("dk")}),
+    ]
+    for df, name, key in ((documents, "documents", doc), (blocks, "blocks", block), (chunks, "chunks", chunk)):
+        twice = df.where(key.isNotNull()).groupBy(canonical_id(key).alias("k")).agg(F.count("*").alias("n"))
+        out.append(_fail(twice, f"{name}.unique", F.col("k"), F.col("n") > 1))
+    return reduce(DataFrame.unionByName, out)

@@ -14,39 +14,54 @@ t = table
 
 
 def _window(s, d):
-    h = t(s, d, "history").select("conv_id", F.col("chat_id").alias("pos"), "role", "content")
+    h = t(s, d, "history").select("conv_id", F.col("chat_id").alias("pos"), C.spoken_by(F.col("role")).alias("role"), "content")
     return C.history_window(h).select("conv_id", "pos", "role", F.length("content").alias("n_chars"))
 
 
-def _context(s, d):
-    """The chunks of each document as one prompt context, the first three in order."""
+def _context_hits(s, d):
+    """(scope, hits): the first three chunks of each document in order; three are kept per salt before a document's meet."""
+    from pyspark.sql import Window as W
+
     from docloom.plans.retrieval import _chunks
 
     c = _chunks(s, d).join(t(s, d, "chunks").where("deleted_at is null").groupBy("chunk_id").agg(F.min("section_path").alias("section_path"), F.min("requirement_ids").alias("requirement_ids")), "chunk_id")
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(16))
+    near = c.withColumn("r", F.row_number().over(W.partitionBy("scope", salt).orderBy("chunk_id"))).where("r <= 3")
+    first = near.withColumn("r", F.row_number().over(W.partitionBy("scope").orderBy("chunk_id"))).where("r <= 3")
     hit = F.struct("chunk_id", "section_path", "requirement_ids", "text")
-    per = c.groupBy("scope").agg(F.slice(F.array_sort(F.collect_list(hit)), 1, 3).alias("hits"))
+    return first.groupBy("scope").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+
+
+def _context(s, d):
+    """The first chunks of each document as one prompt context."""
     text = C.context_block(F.col("hits"))
-    return per.select("scope", F.size("hits").alias("n_hits"), F.sha2(text, 256).alias("context_hash"))
+    return _context_hits(s, d).select("scope", F.size("hits").alias("n_hits"), F.sha2(text, 256).alias("context_hash"))
+
+
+def _answers(s, d):
+    """History rows of the assistant, however its role is spelled."""
+    return t(s, d, "history").where((C.spoken_by(F.col("role")) == "assistant") & F.col("content").isNotNull())
 
 
 def _frames(s, d):
-    return C.token_frames(t(s, d, "history").where("role = 'assistant'"), "history_id", "content").groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("max_seq"))
+    return C.token_frames(_answers(s, d), "history_id", "content").groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("max_seq"))
 
 
 def _fold(s, d):
-    h = t(s, d, "history").where("role = 'assistant' and content is not null")
-    return C.fold_frames(C.token_frames(h, "history_id", "content"), "history_id")
+    return C.fold_frames(C.token_frames(_answers(s, d), "history_id", "content"), "history_id")
 
 
 def _prompts(s, d):
-    h = t(s, d, "history").where("role in ('user', 'assistant') and content is not null")
-    per = h.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chat_id", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("h"))
+    """Each conversation's window as history of a prompt."""
+    h = C.history_window(t(s, d, "history").select("conv_id", F.col("chat_id").alias("pos"), C.spoken_by(F.col("role")).alias("role"), "content"))
+    per = h.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("h"))  # six at most
     m = C.prompt_messages(F.lit("Answer from the selected document only."), F.col("h"), F.lit("?"))
     return per.select("conv_id", F.size(m).alias("n_messages"), F.element_at(m, -1)["role"].alias("last_role"), F.sha2(F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["role"], x["content"])), "\n"), 256).alias("hash"))
 
 
 def _chat_page(s, d):
-    return C.page(t(s, d, "chat_local"), "DOC_00000001", 1).select("id", "msg", "sender")
+    """The second page of every document's chat."""
+    return C.pages(t(s, d, "chat_local")).where("page = 1").select("k", "place", "id")
 
 
 def _repeated(s, d):
@@ -129,32 +144,38 @@ _TS = "try_strptime(regexp_replace(chatdate, '[^0-9]', '', 'g')[:14], '%Y%m%d%H%
 _CH = f"c AS (SELECT chunk_id, upper(trim(arg_min(document_id, (ingested_at, text)))) scope, arg_min(text, (ingested_at, text)) t FROM chunks WHERE document_id IS NOT NULL AND text IS NOT NULL AND deleted_at IS NULL GROUP BY 1)"
 _STOP = ", ".join(f"'{w}'" for w in Q.STOPWORDS)
 _STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_NAME = _STRIP.format("role")
+_ROLE = f"CASE WHEN lower({_NAME}) IN ('user', 'human', '사용자') THEN 'user' WHEN lower({_NAME}) IN ('assistant', 'ai', 'bot', '어시스턴트') THEN 'assistant' WHEN lower({_NAME}) IN ('system', '시스템') THEN 'system' END"
+_WINDOW = f"""
+m AS (SELECT conv_id, chat_id pos, {_ROLE} AS role, {_STRIP.format('content')} ct FROM history WHERE conv_id IS NOT NULL),
+w AS (SELECT *, row_number() OVER b rn, sum(length(ct)) OVER (b ROWS UNBOUNDED PRECEDING) chars FROM m WHERE role IN ('user', 'assistant') AND ct <> '' WINDOW b AS (PARTITION BY conv_id ORDER BY pos DESC, role DESC, ct DESC)),
+k AS (SELECT *, min(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY conv_id) f FROM w WHERE rn <= 6 AND chars <= 400)
+"""
 _RUNS = """
 r AS (SELECT source, min(parser_version) parser, max(file_type) file_type, round(avg(n_chars), 6) mean_chars, round(avg((parse_status = 'SUCCESS')::DOUBLE), 6) success, count(DISTINCT agency) agencies FROM documents GROUP BY 1)
 """
 
 ORACLE = {
     "history_window": f"""
-WITH m AS (SELECT conv_id, chat_id pos, lower({_STRIP.format('role')}) AS role, {_STRIP.format('content')} ct FROM history WHERE conv_id IS NOT NULL),
-w AS (SELECT *, row_number() OVER b rn, sum(length(ct)) OVER (b ROWS UNBOUNDED PRECEDING) chars FROM m WHERE role IN ('user', 'assistant') AND ct <> '' WINDOW b AS (PARTITION BY conv_id ORDER BY pos DESC)),
-k AS (SELECT *, min(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY conv_id) f FROM w WHERE rn <= 6 AND chars <= 400)
-SELECT conv_id, pos, role, length(ct) AS n_chars FROM k WHERE pos >= f""",
+WITH {_WINDOW} SELECT conv_id, pos, role, length(ct) AS n_chars FROM k WHERE pos >= f""",
     "prompt_context": f"""
 WITH {_CH}, e AS (SELECT chunk_id, min(section_path) sp, min(requirement_ids) ri FROM chunks WHERE deleted_at IS NULL GROUP BY 1),
 h AS (SELECT scope, chunk_id, '[chunk_id: ' || chunk_id || '] (section: ' || coalesce(nullif(array_to_string(sp, ' > '), ''), '-') || ' / requirement: ' || coalesce(nullif(array_to_string(ri, ', '), ''), '-') || ')' || chr(10) || t x,
       row_number() OVER (PARTITION BY scope ORDER BY chunk_id) n FROM c JOIN e USING (chunk_id))
 SELECT scope, count(*) AS n_hits, sha256(string_agg(x, E'\\n\\n' ORDER BY n)) AS context_hash FROM h WHERE n <= 3 GROUP BY 1""",
-    "prompt_messages": """
-WITH h AS (SELECT conv_id, count(*) n, string_agg(role || ':' || content, chr(10) ORDER BY chat_id, role, content) x FROM history WHERE role IN ('user', 'assistant') AND content IS NOT NULL GROUP BY 1)
+    "prompt_messages": f"""
+WITH {_WINDOW}, h AS (SELECT conv_id, count(*) n, string_agg(role || ':' || ct, chr(10) ORDER BY pos, role, ct) x FROM k WHERE pos >= f GROUP BY 1)
 SELECT conv_id, n + 2 AS n_messages, 'user' AS last_role, sha256('system:Answer from the selected document only.' || chr(10) || x || chr(10) || 'user:?') AS hash FROM h""",
-    "token_frames": """
-WITH h AS (SELECT len(list_filter(string_split(content, ' '), lambda w: w <> '')) n FROM history WHERE role = 'assistant' AND content IS NOT NULL)
+    "token_frames": f"""
+WITH h AS (SELECT len(list_filter(string_split(content, ' '), lambda w: w <> '')) n FROM history WHERE {_ROLE} = 'assistant' AND content IS NOT NULL)
 SELECT 'SOS' AS kind, count(*) AS n, 0 AS max_seq FROM h UNION ALL SELECT 'TOKEN', CAST(sum(n) AS BIGINT), max(n) FROM h UNION ALL SELECT 'EOS', count(*), max(n) + 1 FROM h""",
-    "folded_answers": "SELECT history_id, array_to_string(list_filter(string_split(content, ' '), lambda w: w <> ''), ' ') AS text FROM history WHERE role = 'assistant' AND content IS NOT NULL",
+    "folded_answers": f"SELECT history_id, array_to_string(list_filter(string_split(content, ' '), lambda w: w <> ''), ' ') AS text FROM history WHERE {_ROLE} = 'assistant' AND content IS NOT NULL",
     "chat_last_turn": f"""
 WITH p AS (SELECT {_ID.format('documentid')} k, count(*) n, max({_TS}) l, arg_max(id, (coalesce({_TS}, timestamp '0001-01-01'), id)) i FROM chat_local GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_messages, CAST(CAST(epoch(l) AS BIGINT) AS VARCHAR) AS last_at, CAST(i AS VARCHAR) AS last_id FROM documents LEFT JOIN p ON k = {_ID.format('document_id')}""",
-    "chat_page": f"SELECT id, msg, sender FROM chat_local WHERE {_ID.format('documentid')} = 'DOC_00000001' ORDER BY {_TS} DESC NULLS LAST, id DESC LIMIT 30 OFFSET 30",
+    "chat_page": f"""
+WITH r AS (SELECT {_ID.format('documentid')} k, id, row_number() OVER (PARTITION BY k ORDER BY {_TS} DESC NULLS LAST, id DESC) - 1 n FROM chat_local WHERE documentid IS NOT NULL)
+SELECT k, n % 30 AS place, id FROM r WHERE n // 30 = 1""",
     "chat_days": f"""
 SELECT {_ID.format('documentid')} AS k, CAST(CAST({_TS} AS DATE) AS VARCHAR) AS day, count(*) AS n_messages, arg_min(id, ({_TS}, id)) AS first_id FROM chat_local WHERE documentid IS NOT NULL AND {_TS} IS NOT NULL GROUP BY 1, 2""",
     "repeated_blocks": f"SELECT {_ID.format('document_id')} AS k, text_normalized, count(*) AS n FROM blocks WHERE deleted_at IS NULL AND document_id IS NOT NULL AND length(text_normalized) BETWEEN 3 AND 100 GROUP BY 1, 2 HAVING count(*) >= 3",

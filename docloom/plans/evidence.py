@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import evidence as E
-from docloom.plans.activity import _ID
-from docloom.plans.retrieval import _chunks
+from docloom.plans.activity import _ID, _STOP
+from docloom.plans.retrieval import _CHUNKS, _HITS, _chunks
 from docloom.session import canonical_id, table
 
 
@@ -48,6 +48,14 @@ QUERIES = {
 _CH = "c AS (SELECT chunk_id, upper(trim(arg_min(document_id, (ingested_at, text)))) scope, arg_min(text, (ingested_at, text)) t FROM chunks WHERE document_id IS NOT NULL AND text IS NOT NULL AND deleted_at IS NULL GROUP BY 1)"
 
 ORACLE = {
+    "self_retrieval": rf"""
+WITH {_CHUNKS}, f AS (SELECT * FROM c WHERE len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) >= 80),
+w AS (SELECT chunk_id, term, i FROM (SELECT chunk_id, list_filter(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]{{2,}}'), lambda x: x NOT IN ({_STOP})) x FROM f), unnest(x) WITH ORDINALITY u(term, i)),
+g AS (SELECT chunk_id, term, row_number() OVER (PARTITION BY chunk_id ORDER BY count(*) DESC, min(i)) n FROM w GROUP BY 1, 2),
+q0 AS (SELECT chunk_id query_id, any_value(scope) scope, string_agg(term, ' ' ORDER BY n) question FROM g JOIN f USING (chunk_id) WHERE n <= 4 GROUP BY 1), {_HITS},
+r AS (SELECT q0.query_id, "rank" FROM q0 LEFT JOIN hits h ON h.query_id = q0.query_id AND h.chunk_id = q0.query_id AND "rank" <= 10)
+SELECT count(*) AS n_questions, round(avg((coalesce("rank", 99) <= 1)::INT), 6) AS recall_at_1, round(avg((coalesce("rank", 99) <= 5)::INT), 6) AS recall_at_5, round(avg((coalesce("rank", 99) <= 10)::INT), 6) AS recall_at_10,
+  round(avg(coalesce(1.0 / "rank", 0)), 6) AS mrr FROM r""",
     "provenance_trace": f"""
 WITH c AS (SELECT chunk_id, upper(trim(arg_min({{'v': document_id}}, (ingested_at, text)).v)) dk, arg_min({{'v': block_ids}}, (ingested_at, text)).v b FROM chunks WHERE deleted_at IS NULL GROUP BY 1),
 r AS (SELECT DISTINCT chunk_id, dk, {_ID.format('x')} bk FROM (SELECT chunk_id, dk, unnest(b) x FROM c) WHERE x IS NOT NULL),

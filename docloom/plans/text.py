@@ -59,11 +59,19 @@ def _retrieval_text(s, d):
     return c.join(meta, key(F.col("document_id")) == F.col("k"), "left").select("chunk_id", _at(), F.sha2(out, 256).alias("retrieval_hash"), F.length(out).alias("n_chars"))
 
 
+def _removals(s, d):
+    """What audited cleaning takes out of each document's texts, place by place."""
+    fields = F.explode(F.create_map(*[x for f in ("text_raw", "title", "source_filename_raw") for x in (F.lit(f), F.col(f))])).alias("field", "value")
+    docs = table(s, d, "documents").select("doc_id", fields).where("value is not null")
+    return docs.select("doc_id", "field", F.explode(T.removals(F.col("value"))).alias("x")).select("doc_id", "field", F.col("x.place").cast("long").alias("place"), "x.code")
+
+
 QUERIES = {
     "normalized_blocks": _normalized,
     "audited_cleaning": _audited,
     "block_labels": _labels,
     "block_roles": _roles,
+    "removal_log": _removals,
     "requirement_ids": _requirements,
     "match_keys": _keys,
     "script_profile": _profile,
@@ -96,9 +104,20 @@ SELECT block_id, epoch_us(ingested_at) AS at_us, nfc_normalize(array_to_string(l
     "audited_cleaning": r"""
 WITH a AS (SELECT doc_id, text_raw r, regexp_replace(text_raw, '[\x00-\x08\x0b-\x1f\x7f-\x{9f}\p{Cf}\p{Co}]', '', 'g') k FROM documents WHERE text_raw IS NOT NULL),
 b AS (SELECT *, length(r) - length(k) + len(regexp_extract_all(k, '\x{FFFD}+|(?:.\x{0203})+')) removed,
-      """ + _clean(r"regexp_replace(regexp_replace(k, '\x{FFFD}+|(?:.\x{0203})+', ' ', 'g'), '(?m)[.·ㆍ…]{4,}\s*\d{1,4}\s*$', '', 'g')") + r""" t FROM a),
+      """ + _clean(r"nfc_normalize(regexp_replace(regexp_replace(k, '\x{FFFD}+|(?:.\x{0203})+', ' ', 'g'), '(?m)[.·ㆍ…]{4,}\s*\d{1,4}\s*$', '', 'g'))") + r""" t FROM a),
 c AS (SELECT *, round_even(greatest(0, (length(r) - length(t)) / greatest(1, length(r))), 6) ratio FROM b)
 SELECT doc_id, sha256(t) AS text_hash, removed, ratio, ratio > 0.05 OR removed > 10 AS needs_review FROM c""",
+    "removal_log": r"""
+WITH v AS (SELECT doc_id, unnest(['text_raw', 'title', 'source_filename_raw']) field, unnest([text_raw, title, source_filename_raw]) v FROM documents),
+c AS (SELECT doc_id, field, unnest(regexp_extract_all(v, '(?s).')) c, generate_subscripts(regexp_extract_all(v, '(?s).'), 1) - 1 place FROM v WHERE v IS NOT NULL),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY place) n FROM c WHERE regexp_matches(c, '[\x00-\x08\x0b-\x1f\x7f-\x{9f}\p{Cf}\p{Co}]'))
+SELECT doc_id, field, place, 'U+' || printf('%04X', unicode(c)) AS code FROM g WHERE n <= 100""",
+    # Every sign and Korean letter is doubled, so that a match may use up one of two as its bound.
+    "requirement_ids": r"""
+WITH b AS (SELECT block_id, epoch_us(ingested_at) AS at_us, regexp_replace(text_normalized, '([^A-Za-z0-9])', '\1\1', 'g') t FROM blocks WHERE text_normalized IS NOT NULL),
+m AS (SELECT block_id, at_us, list_transform(list_zip(regexp_extract_all(t, re, 1), regexp_extract_all(t, re, 2)), lambda x: upper(x[1]) || '-' || lpad(CAST(CAST(x[2] AS INT) AS VARCHAR), CAST(greatest(3, length(CAST(CAST(x[2] AS INT) AS VARCHAR))) AS INT), '0')) l
+      FROM b, (SELECT '(?i)(?:^|[^A-Z0-9])([A-Z]{2,5})\s*[-–—]{2}\s*(?:(?:[가-힣A-Za-z]+)\s*[-–—]{2}\s*)?(\d{1,4})(?:\D|$)' re))
+SELECT block_id, at_us, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') AS ids FROM m""",
     "block_labels": r"""
 WITH b AS (SELECT block_id, epoch_us(ingested_at) AS at_us, text_normalized t, """ + _strip("text_normalized") + rf""" s FROM blocks WHERE text_normalized IS NOT NULL)
 SELECT block_id, at_us,

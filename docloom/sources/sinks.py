@@ -34,10 +34,16 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_index(vectors: DataFrame, path: str, scope: str, buckets: int = 64) -> int:
-    """Vectors in folders by scope bucket, so a scoped search reads one folder; raises unless every row is there again."""
+def write_index(vectors: DataFrame, path: str, scope: str, buckets: int = 64, rows_per_task: int = 250_000) -> int:
+    """Vectors in folders by scope bucket, so a scoped search reads one folder; raises unless every row is there again.
+
+    Every bucket is written by as many tasks as its rows need, so a scope may hold any share.
+    """
     placed = vectors.withColumn("scope_bucket", F.pmod(F.xxhash64(scope), F.lit(buckets)).cast("int"))
-    placed.repartition("scope_bucket").write.mode("errorifexists").partitionBy("scope_bucket").parquet(path)
+    tasks = placed.groupBy("scope_bucket").agg(F.ceil(F.count("*") / rows_per_task).alias("_tasks"))  # a row per bucket
+    parts = max(buckets, tasks.agg(F.sum("_tasks")).first()[0] or 0)
+    spread = placed.join(F.broadcast(tasks), "scope_bucket").withColumn("_part", F.floor(F.rand(7) * F.col("_tasks")))
+    spread.repartition(parts, "scope_bucket", "_part").drop("_tasks", "_part").write.mode("errorifexists").partitionBy("scope_bucket").parquet(path)
     there, here = vectors.sparkSession.read.parquet(path).count(), vectors.count()
     if there != here:
         raise ValueError(f"index incomplete: {there} of {here} rows")
@@ -50,6 +56,12 @@ def read_index(spark, path: str, scope: str, value, buckets: int = 64) -> DataFr
     return spark.read.parquet(path).where((F.col("scope_bucket") == bucket) & (F.col(scope) == value))
 
 
+def write_split(assigned: DataFrame, report: DataFrame, folder: str) -> None:
+    """split.csv with a header, one row per source in order, and split.json with the target report."""
+    assigned.orderBy("source_document_id").write.mode("overwrite").option("header", True).csv(f"{folder}/split.csv")
+    write_jsonl(report, f"{folder}/split.json", ["split"], 1)
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append the rows whose keys aren't in the table yet; returns what was appended."""
     spark = df.sparkSession
