@@ -67,6 +67,23 @@ def split_counts(assigned: DataFrame, targets: DataFrame, split: str = "split")
     return goal.join(counts, "split", "left").crossJoin(F.broadcast(total)).select("split", "target", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.bround(F.coalesce("n_docs", F.lit(0)) / F.col("total"), 6).alias("actual"))
 
 
+def split_contents(inventory: DataFrame, documents: DataFrame) -> DataFrame:
+    """(split, n_sources, n_documents, n_groups): different sources, documents and content groups per split; sources follow their document."""
+    docs = documents.where("document_id is not null").select(canonical_id(F.col("document_id")).alias("k"), canonical_id(F.col("split")).alias("split"), canonical_id(F.col("content_group_id")).alias("g")).where("split <> ''")
+    src = inventory.select(canonical_id(F.col("canonical_document_id")).alias("k"), "source_document_id").distinct().join(docs.select("k", "split"), "k").groupBy("split").agg(F.countDistinct("source_document_id").alias("n_sources"))
+    return docs.groupBy("split").agg(F.countDistinct("k").alias("n_documents"), F.countDistinct("g").alias("n_groups")).join(src, "split", "left").select(
+        "split", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "n_documents", "n_groups")
+
+
+def notice_crosswalk(inventory: DataFrame, documents: DataFrame) -> DataFrame:
+    """(source_document_id, notice, by_digest, conflict): each source's notice number, else the document it names; conflict where
+    the digest leads to another document than the source names."""
+    by_hash = documents.select(F.regexp_extract(F.lower("content_hash"), "([0-9a-f]{64})", 1).alias("h"), canonical_id(F.col("document_id")).alias("k")).where("h <> '' and k is not null")
+    known = by_hash.groupBy("h").agg(F.countDistinct("k").alias("n"), F.min("k").alias("by_digest")).where("n = 1")
+    rows = inventory.groupBy("source_document_id").agg(F.min(F.when(F.trim("bid_notice_no") != "", F.trim("bid_notice_no"))).alias("no"), F.min(canonical_id(F.col("canonical_document_id"))).alias("named"), F.min(F.regexp_extract(F.lower("sha256"), "([0-9a-f]{64})", 1)).alias("h"))
+    return rows.join(known, "h", "left").select("source_document_id", F.coalesce("no", "named").alias("notice"), "by_digest", F.coalesce(F.col("by_digest") != F.col("named"), F.lit(False)).alias("conflict"))
+
+
 def leaking_groups(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Values of key that lie in more than one split, with the sorted splits and the number of rows."""
     names = rows.where(F.col(key).isNotNull() & F.col(split).isNotNull()).groupBy(canonical_id(F.col(key)).alias("group_key"), canonical_id(F.col(split)).alias("s")).agg(F.count("*").alias("n"))

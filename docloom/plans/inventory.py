@@ -15,6 +15,8 @@ QUERIES = {
     "canonical_pick": lambda s, d: I.canonical_pick(t(s, d, "inventory")),
     "duplicate_components": lambda s, d: I.duplicate_components(t(s, d, "inventory")),
     "split_counts": lambda s, d: I.split_counts(t(s, d, "documents"), t(s, d, "custom_split")),
+    "split_contents": lambda s, d: I.split_contents(t(s, d, "inventory"), t(s, d, "documents")),
+    "notice_crosswalk": lambda s, d: I.notice_crosswalk(t(s, d, "inventory"), t(s, d, "documents")),
     "leaking_groups": lambda s, d: I.leaking_groups(t(s, d, "documents"), "content_group_id"),
     "crosswalk": lambda s, d: I.crosswalk(t(s, d, "inventory"), t(s, d, "documents")),
     "resolved_documents": lambda s, d: I.resolve_documents(t(s, d, "inventory"), t(s, d, "documents"), match_key),
@@ -41,6 +43,14 @@ SELECT node, min(root) AS root FROM r GROUP BY 1""",
 WITH c AS (SELECT {_ID.format('split')} split, count(*) n, count(DISTINCT content_group_id) g FROM documents GROUP BY 1),
 t AS (SELECT unnest(map_keys(splits)) split, unnest(map_values(splits)) target FROM custom_split)
 SELECT t.split, target, coalesce(n, 0) AS n_docs, coalesce(g, 0) AS n_groups, round_even(coalesce(n, 0) / (SELECT sum(n) FROM c WHERE split IS NOT NULL), 6) AS actual FROM t LEFT JOIN c USING (split)""",
+    "split_contents": f"""
+WITH d AS (SELECT {_ID.format('document_id')} k, {_ID.format('split')} split, {_ID.format('content_group_id')} g FROM documents WHERE document_id IS NOT NULL),
+s AS (SELECT split, count(DISTINCT source_document_id) n FROM inventory JOIN d ON k = {_ID.format('canonical_document_id')} WHERE split <> '' GROUP BY 1)
+SELECT d.split, coalesce(any_value(n), 0) AS n_sources, count(DISTINCT k) AS n_documents, count(DISTINCT g) AS n_groups FROM d LEFT JOIN s USING (split) WHERE d.split <> '' GROUP BY 1""",
+    "notice_crosswalk": f"""
+WITH k AS (SELECT regexp_extract(lower(content_hash), '([0-9a-f]{{64}})', 1) h, count(DISTINCT {_ID.format('document_id')}) n, min({_ID.format('document_id')}) k FROM documents WHERE document_id IS NOT NULL GROUP BY 1),
+s AS (SELECT source_document_id, min(nullif(trim(bid_notice_no), '')) no, min({_ID.format('canonical_document_id')}) named, min(regexp_extract(lower(sha256), '([0-9a-f]{{64}})', 1)) h FROM inventory GROUP BY 1)
+SELECT source_document_id, coalesce(no, named) AS notice, k AS by_digest, coalesce(k <> named, false) AS conflict FROM s LEFT JOIN k ON k.h = s.h AND k.h <> '' AND n = 1""",
     "leaking_groups": f"""
 SELECT {_ID.format('content_group_id')} AS group_key, array_to_string(list_sort(list(DISTINCT {_ID.format('split')})), ',') AS splits, count(*) AS n_rows FROM documents
 WHERE content_group_id IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_ID.format('split')}) > 1""",

@@ -94,3 +94,17 @@ def contract_chunks(chunks: DataFrame) -> DataFrame:
     path = F.col("metadata.section_path") if "section_path" in meta else F.col("section_path") if "section_path" in has else F.array().cast("array<string>")
     return chunks.select("chunk_id", pick("document_id", "metadata.document_id", "metadata.canonical_doc_id").alias("document_id"), F.coalesce(pick("split", "metadata.semantic_role"), F.lit("LIVE_DEV")).alias("split"), "text",
                          F.filter(F.coalesce(path, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != "")).alias("section_path"))
+
+
+def contract_documents(documents: DataFrame) -> DataFrame:
+    """Documents in the collector's layout as contract rows: the id in two places, Korean names of title, agency and amount, NaN as null."""
+    has = set(documents.columns)
+    col = lambda name: F.col(f"`{name}`") if name in has else F.lit(None).cast("string")
+    text = lambda name: F.when(F.trim(col(name)) != "", F.trim(col(name)))
+    amount = F.lit(None).cast("double")
+    if "사업금액" in has:
+        number = col("사업금액").try_cast("double")
+        amount = F.when(~F.isnan(number), number)
+    return documents.select(
+        F.coalesce(text("document_id"), text("canonical_doc_id")).alias("document_id"), text("사업명").alias("title"), text("발주기관").alias("agency"), amount.alias("budget_amount"),
+        F.coalesce(text("budget_status"), F.lit("")).alias("budget_status"), F.coalesce(text("split"), F.lit("LIVE_DEV")).alias("split"))

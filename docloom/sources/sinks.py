@@ -34,6 +34,26 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def dataset_manifest(tables: dict[str, DataFrame], versions: dict[str, str], split: str = "split") -> DataFrame:
+    """manifest() with the versions that made the tables and, where a table has splits, its rows per split."""
+    rows = manifest(tables).withColumn("versions", F.create_map(*[F.lit(x) for pair in sorted(versions.items()) for x in pair]))
+    counts = None
+    for name, df in tables.items():
+        if split in df.columns:
+            per = df.groupBy(F.coalesce(F.upper(F.trim(split)), F.lit("(none)")).alias("s")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("splits"))
+            per = per.select(F.lit(name).alias("name"), "splits")
+            counts = per if counts is None else counts.unionByName(per)
+    return rows if counts is None else rows.join(counts, "name", "left")
+
+
+def write_formats(tables: dict[str, DataFrame], folder: str, order: dict[str, list[str]]) -> None:
+    """Every table as JSON lines, and as CSV with arrays and maps written as JSON."""
+    for name, df in tables.items():
+        write_jsonl(df, f"{folder}/{name}.jsonl", order[name])
+        flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
+        df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+
+
 def write_index(vectors: DataFrame, path: str, scope: str, buckets: int = 64, rows_per_task: int = 250_000) -> int:
     """Vectors in folders by scope bucket, so a scoped search reads one folder; raises unless every row is there again.
 
@@ -42,7 +62,7 @@ def write_index(vectors: DataFrame, path: str, scope: str, buckets: int = 64, ro
     placed = vectors.withColumn("scope_bucket", F.pmod(F.xxhash64(scope), F.lit(buckets)).cast("int"))
     tasks = placed.groupBy("scope_bucket").agg(F.ceil(F.count("*") / rows_per_task).alias("_tasks"))  # a row per bucket
     parts = max(buckets, tasks.agg(F.sum("_tasks")).first()[0] or 0)
-    spread = placed.join(F.broadcast(tasks), "scope_bucket").withColumn("_part", F.floor(F.rand(7) * F.col("_tasks")))
+    spread = placed.join(F.broadcast(tasks), "scope_bucket").withColumn("_part", F.pmod(F.xxhash64(*vectors.columns), F.col("_tasks")))
     spread.repartition(parts, "scope_bucket", "_part").drop("_tasks", "_part").write.mode("errorifexists").partitionBy("scope_bucket").parquet(path)
     there, here = vectors.sparkSession.read.parquet(path).count(), vectors.count()
     if there != here:
