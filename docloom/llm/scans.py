@@ -654,16 +654,62 @@ def _scan(wanted, strays, name):
     return run
 
 
+def heading_rest(line: str, title: str | None, agency: str | None) -> str | None:
+    """What a line's shape holds besides parts of the document's title or agency; null where it holds none of either."""
+    rest, about = shape(line), False
+    for known in (title, agency):
+        k = shape(unicodedata.normalize("NFC", known)) if known else ""
+        if len(k) < 3 or not rest:
+            continue
+        if alike(rest, k[: len(rest)]):
+            return ""
+        m = SequenceMatcher(None, rest, k, autojunk=False).find_longest_match()
+        if m.size >= 4 or m.size == len(k):
+            rest, about = rest[: m.a] + rest[m.a + m.size :], True
+    return rest if about else None
+
+
+def _first_line(text: str) -> str | None:
+    """The line that opens a text and stands alone above a blank line, if it could be a heading."""
+    lines = [x.strip() for x in text.split("\n")]
+    at = next((i for i, x in enumerate(lines) if x), None)
+    if at is None or not 3 <= len(lines[at]) <= 60 or MARKED.match(lines[at]) or is_page_line(lines[at]):
+        return None
+    return lines[at] if at + 1 < len(lines) and not lines[at + 1] else None
+
+
+HEADED = "record_id string, text string, headings array<string>, rests array<string>, first string, first_rest string, first_numbered boolean"
+
+
 def _headings(batches):
     for pdf in batches:
         found = [running_headings(t, a, b) for t, a, b in zip(pdf["text"], pdf["title"], pdf["agency"])]
-        yield pdf[["record_id", "text"]].assign(headings=found)
+        rests = [[r for h in hs if (r := heading_rest(h, a, b)) is not None] for hs, a, b in zip(found, pdf["title"], pdf["agency"])]
+        first = [None if hs else _first_line(t) for hs, t in zip(found, pdf["text"])]
+        first_rest = [None if x is None else heading_rest(x, a, b) for x, a, b in zip(first, pdf["title"], pdf["agency"])]
+        yield pdf[["record_id", "text"]].assign(
+            headings=found, rests=rests, first=[None if x is None else shape(x) for x in first], first_rest=first_rest, first_numbered=[None if x is None else bool(IN_LINE.search(x)) for x in first])
+
+
+#: What stands in a running heading beside title and agency is a form of the corpus from this share of the repeated headings on.
+FORM_SHARE = 0.01
 
 
 def with_headings(documents: DataFrame) -> DataFrame:
-    """(record_id, text, headings) of parsed documents."""
+    """(record_id, text, headings) of parsed documents, written.
+
+    Headings are lines that come again where pages begin.  A document of one page shows
+    its heading once: the line that opens it is one if it holds title or agency and
+    otherwise only what repeated headings of other documents hold; a bare title must
+    bear a page number.
+    """
     rows = documents.where("text_raw is not null").select(F.col("document_id").alias("record_id"), F.col("text_raw").alias("text"), "title", "agency")
-    return rows.mapInPandas(_headings, "record_id string, text string, headings array<string>")
+    rows = written(rows.mapInPandas(_headings, HEADED), "parsed")
+    forms = rows.select(F.explode("rests").alias("rest")).groupBy("rest").agg(F.count("*").alias("n"))
+    total = forms.agg(F.sum("n")).first()[0] or 0
+    known = [r["rest"] for r in forms.where(F.col("n") >= FORM_SHARE * total).collect()]  # at most 1 / FORM_SHARE
+    opens = F.col("first_rest").isin(known) & ((F.col("first_rest") != "") | F.col("first_numbered"))
+    return rows.select("record_id", "text", F.when((F.size("headings") == 0) & opens, F.array("first")).otherwise(F.col("headings")).alias("headings"))
 
 
 def _with_document(blocks: DataFrame) -> DataFrame:
@@ -689,7 +735,7 @@ OCCURRENCES = "table_name string, record_id string, word string, at int, common
 
 def _detected(documents: DataFrame, blocks: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, frozenset]:
     """(kinds, occurrences, docs, parts, strays): kinds of noise per record; misread occurrences, each with its correction; the texts."""
-    docs = written(with_headings(documents), "parsed")
+    docs = with_headings(documents)
     texts = docs.select("text")
     counts = word_counts(texts)
     strays = stray_signs(counts, _with_document(blocks))

@@ -215,6 +215,21 @@ def test_p3_filter_size_changes_no_row(spark):
     assert rows[0] == rows[1] and len(rows[0]) >= 3
 
 
+def test_p3_a_single_heading_is_known_by_the_forms_of_repeated_ones(spark):
+    body = "수행사는 예산을 배정한다."
+    paged = lambda head: "\n\n".join(f"{head}\n\n{body}\n\n- {i} -" for i in (1, 2, 3))
+    names = [f"{c}온시" for c in "가나다라마바사아자차"]
+    rows = [(f"P{i}", paged(f"[{a}] 과업내용서"), f"{a} 상황판 구축 용역", a) for i, a in enumerate(names)] + [(f"Q{i}", paged(f"{a} 상황판 구축"), f"{a} 상황판 구축 용역", a) for i, a in enumerate(names)]
+    rows += [("one", f"[하온시] 과업내용서\n\n{body}", "하온시 관제 사업", "하온시"), ("misread", f"[하온시] 과업내융서\n\n{body}", "하온시 관제 사업", "하온시"), ("numbered", f"하온시 관제   4\n\n{body}", "하온시 관제 사업", "하온시"),
+             ("title", f"하온시 관제 사업\n\n{body}", "하온시 관제 사업", "하온시"), ("other", f"하온시 안내문\n\n{body}", "하온시 관제 사업", "하온시"), ("nothing", f"과업내용서\n\n{body}", None, None)]
+    documents = spark.createDataFrame(rows, "document_id string, text_raw string, title string, agency string")
+    got = {r["record_id"]: r["headings"] for r in scans.with_headings(documents).collect()}
+    assert all(got[f"P{i}"] and got[f"Q{i}"] for i in range(10))
+    assert got["one"] == ["하온시과업내용서"] and got["numbered"] == ["하온시관제"] and got["title"] == got["other"] == got["nothing"] == []
+    kinds = {(r["record_id"], r["noise_kind"]) for r in scans.noise(documents, spark.createDataFrame([], "block_id string, document_id string, text_normalized string")).collect()}
+    assert {("one", "running_header"), ("numbered", "running_header"), ("numbered", "page_number")} <= kinds and not {k for k in kinds if k[0] in ("title", "other", "nothing")}
+
+
 def test_p3_stray_signs_are_learned(spark):
     counts = spark.createDataFrame(
         [("제출하여야", 900), ("제출^하여야", 2), ("^제출하여야", 1), ("점검하여야", 500), ("점검¤하여야", 3), ("시설·장비", 40), ("시설장비", 45), ("0~0일", 60), ("00일", 3000), ("0^0일", 1), ("보고서", 700), ("보고~서", 2), ("000,000", 400)], "word string, n long")
