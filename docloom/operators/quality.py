@@ -88,6 +88,12 @@ def best_runs(runs: DataFrame, run: str, metrics: dict[str, bool]) -> DataFrame:
     return long.groupBy("metric").agg(F.min_by(run, order).alias("best_run"), F.min_by("value", order).alias("value"))
 
 
+def compared_runs(runs: DataFrame, run: str, metric: str) -> DataFrame:
+    """(run, metric, place): runs from the greatest value on, those without one last, ties by name."""
+    w = W.orderBy(F.desc_nulls_last(metric), run)
+    return runs.select(run, metric).withColumn("place", F.row_number().over(w))  # a row per run
+
+
 def answer_scores(rows: DataFrame) -> DataFrame:
     """rows(question_id, logic, answerable, abstained, facts, facts_ok, conditions, conditions_ok, cited, gold, shown) -> per question
     logic_pass, partial, citation share, abstention result and cause.

@@ -186,6 +186,29 @@ def scope_violations(hits: DataFrame, queries: DataFrame, chunks: DataFrame) ->
     return hits.select("query_id", "chunk_id").join(asked, "query_id").join(known, "chunk_id").where("_asked <> _of").select("query_id", "chunk_id")
 
 
+def normalised_hits(hits: DataFrame, k: int = 5) -> DataFrame:
+    """hits(query_id, chunk_id, ...) in any layout as contract rows of at most k per query: rank by the given rank, else by score, then
+    by chunk id; a missing score is 0, a missing section path empty; rows without chunk id are dropped."""
+    has = set(hits.columns)
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in has else F.lit(0.0)
+    given = F.col("rank").cast("int") if "rank" in has else F.lit(None).cast("int")
+    path = F.coalesce("section_path", F.array().cast("array<string>")) if "section_path" in has else F.array().cast("array<string>")
+    rows = hits.where("chunk_id is not null and trim(chunk_id) <> ''").select("query_id", "chunk_id", score.alias("score"), given.alias("_given"), path.alias("section_path"))
+    w = W.partitionBy("query_id").orderBy(F.asc_nulls_last("_given"), F.desc("score"), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_given")
+
+
+def hits_from(queries: DataFrame, by_id: DataFrame, by_text: DataFrame) -> DataFrame:
+    """queries(query_id, question), by_id(query_id, hits), by_text(question, hits) -> (query_id, origin, hits).
+
+    Hits kept for the question's id go before hits kept for its text; a question with neither has none.
+    """
+    a, b = by_id.select("query_id", F.col("hits").alias("_a")), by_text.select("question", F.col("hits").alias("_b"))
+    rows = queries.select("query_id", "question").join(a, "query_id", "left").join(b, "question", "left")
+    origin = F.when(F.col("_a").isNotNull(), "id").when(F.col("_b").isNotNull(), "text").otherwise("none")
+    return rows.select("query_id", origin.alias("origin"), F.coalesce("_a", "_b", F.array().cast("array<string>")).alias("hits"))
+
+
 def exported_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(question_id, selected_document_id, question, hits): each question with its hits in order; an unanswerable one has none."""
     found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("hits"))  # at most k each

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from docloom.functions import text as T
 from docloom.operators import chat as C
@@ -102,7 +103,23 @@ def _wiring(s, d):
     return hits.select("scope", F.size("hits").alias("n_hits"), ok("chunk_id").alias("ids_in"), ok("text").alias("texts_in"))
 
 
+def _sources(s, d):
+    """Hits of requirement texts: ranked ones by the question's id, else the chunks that hold the text by the text itself."""
+    q, gold = _evidence(s, d)
+    listed = lambda rows, key: rows.groupBy(key).agg(F.sort_array(F.collect_set("chunk_id")).alias("hits"))
+    top = R.normalised_hits(R.bm25(q, _chunks(s, d)), 3).where("score > 20")
+    text = gold.join(q.select("query_id", "question"), "query_id").groupBy("question", "chunk_id").agg(F.count("*")).withColumn("r", F.row_number().over(W.partitionBy("question").orderBy("chunk_id"))).where("r <= 3")
+    return R.hits_from(q, listed(top, "query_id"), listed(text, "question")).select("query_id", "origin", F.array_join("hits", ",").alias("hits"))
+
+
+def _compared(s, d):
+    per = t(s, d, "documents").groupBy("source").agg(F.round(F.avg(F.when(F.col("lang") == "en", F.col("n_chars"))), 6).alias("mean_chars"))
+    return Q.compared_runs(per, "source", "mean_chars")
+
+
 QUERIES = {
+    "hit_sources": _sources,
+    "compared_sources": _compared,
     "question_rollup": _by_role,
     "attached_scores": _attached,
     "run_summary": _summary,
@@ -124,6 +141,14 @@ _SCORED = f"""{_CHUNKS}, {_EVIDENCE}, {_HITS}, h AS (SELECT * FROM hits WHERE "r
 m AS (SELECT g.query_id, count(*) n_gold, max(("rank" IS NOT NULL)::INT) hit, coalesce(1.0 / min("rank"), 0) rr FROM gold g LEFT JOIN h USING (query_id, chunk_id) GROUP BY 1)"""
 
 ORACLE = {
+    "hit_sources": f"""
+WITH {_CHUNKS}, {_EVIDENCE}, {_HITS}, a AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY chunk_id) h FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) n FROM b WHERE score > 0) WHERE n <= 3 AND score > 20 GROUP BY 1),
+g AS (SELECT question, chunk_id, row_number() OVER (PARTITION BY question ORDER BY chunk_id) n FROM (SELECT DISTINCT question, chunk_id FROM gold JOIN q0 USING (query_id))),
+x AS (SELECT question, string_agg(chunk_id, ',' ORDER BY chunk_id) h FROM g WHERE n <= 3 GROUP BY 1)
+SELECT query_id, CASE WHEN a.h IS NOT NULL THEN 'id' WHEN x.h IS NOT NULL THEN 'text' ELSE 'none' END AS origin, coalesce(a.h, x.h, '') AS hits FROM q0 LEFT JOIN a USING (query_id) LEFT JOIN x USING (question)""",
+    "compared_sources": """
+WITH p AS (SELECT source, round(avg(n_chars) FILTER (lang = 'en'), 6) m FROM documents GROUP BY 1)
+SELECT source, m AS mean_chars, row_number() OVER (ORDER BY m DESC NULLS LAST, source) AS place FROM p""",
     "question_rollup": f"""
 WITH {_SCORED}, r AS (SELECT block_id query_id, min(coalesce(semantic_role, '(none)')) AS role FROM blocks WHERE block_id IS NOT NULL GROUP BY 1)
 SELECT coalesce(role, '(all)') AS role, count(*) AS n_questions, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS mrr FROM m JOIN r USING (query_id) GROUP BY ROLLUP (role)""",

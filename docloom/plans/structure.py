@@ -23,7 +23,7 @@ def _paragraphs(s, d):
 
 
 def _provenance(s, d):
-    """Blocks per chunk with the first six sections in order, pages as null-ignoring bounds."""
+    """Blocks per chunk with the first six sections in order."""
     b = S.with_sections(S.paragraphs(_docs(s, d)))
     pairs = S.chunk_blocks(S.chunk_windows(_docs(s, d)), b)
     full = pairs.join(b.select("doc_id", "block_index", "section"), ["doc_id", "block_index"])

@@ -213,3 +213,15 @@ def test_adapters_names_and_manifests(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sinks.write_formats({"t": t}, folder, {"t": ["id"]})
     assert spark.read.text(f"{folder}/t.jsonl").first()[0] == '{"id":1,"split":"DEV","tags":["a"]}' and spark.read.option("header", True).csv(f"{folder}/t.csv").count() == 3
+
+
+def test_hits_from_either_key_and_any_layout(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "query_id long, question string")
+    by_id = spark.createDataFrame([(1, ["x"])], "query_id long, hits array<string>")
+    by_text = spark.createDataFrame([("a", ["y"]), ("b", ["z"])], "question string, hits array<string>")
+    got = {r["query_id"]: (r["origin"], r["hits"]) for r in R.hits_from(q, by_id, by_text).collect()}
+    assert got == {1: ("id", ["x"]), 2: ("text", ["z"]), 3: ("none", []), 4: ("none", [])}
+    raw = spark.createDataFrame([(1, "b", None), (1, "a", 0.5), (1, " ", 9.0), (1, None, 1.0), (1, "c", 0.5)], "query_id long, chunk_id string, score double")
+    assert [(r["chunk_id"], r["rank"], r["score"]) for r in R.normalised_hits(raw, 2).orderBy("rank").collect()] == [("a", 1, 0.5), ("c", 2, 0.5)]
+    runs = spark.createDataFrame([("r1", 1.0), ("r2", None), ("r3", 2.0), ("r0", 1.0)], "run string, m double")
+    assert [r["run"] for r in Q.compared_runs(runs, "run", "m").orderBy("place").collect()] == ["r3", "r0", "r1", "r2"]
