@@ -355,6 +355,19 @@ def test_p4_late_replies_and_busy_channels_keep_their_links(spark):
     assert len(answers) == 61 and (answers.parent_id == answers.chat_id - 1).all()
 
 
+def test_p4_known_parents_are_those_that_scoring_gives(spark, monkeypatch):
+    rng = random.Random(12)
+    at = lambda k: f"2026-01-{1 + k // 86400:02d} {k // 3600 % 24:02d}:{k // 60 % 60:02d}:{k % 60:02d}"
+    talk = lambda: [(rng.choice(["user", "assistant", "BOT"]), " ".join(rng.choice(["예산", "검수", "서버", "일정", "보안"]) for _ in range(3)), at(rng.randrange(200_000)) if rng.random() < 0.9 else None, None, rng.choice(["D", "E", None])) for _ in range(rng.randint(1, 9))]
+    h, c = chat_rows(spark, {k: talk() for k in range(60)})
+    left = threads.remaining(threads.prepare(h, c))
+    links = lambda: sorted(map(tuple, threads.conversation_links(left).where("same").select("conv_id", "chat_id", "speaker", "parent_id").collect()))
+    assert threads.named_decides()
+    pruned, dropped = links(), {r["conv_id"] for r in threads.broken(h, c).collect()}
+    monkeypatch.setattr(threads, "named_decides", lambda: False)  # every candidate is scored
+    assert links() == pruned and len(pruned) > 100 and {r["conv_id"] for r in threads.broken(h, c).collect()} == dropped
+
+
 def test_p4_candidates_beyond_reach_cannot_win():
     assert threads.W_STEP * np.log1p(threads.REACH) >= threads.W_MENTION + threads.W_OVERLAP
 
