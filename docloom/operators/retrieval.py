@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docloom.session import written
 
@@ -41,7 +42,7 @@ class Corpus:
         self.size = self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
         df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         #: (term, idf)
-        self.idf = df.crossJoin(F.broadcast(self.size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        self.idf = written(df.crossJoin(F.broadcast(self.size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """(query_id, scope, term, tf) of questions; those blank or without scope ask nothing."""
@@ -60,12 +61,18 @@ def bm25(queries: DataFrame, chunks: DataFrame, tokens=None, corpus: Corpus | No
     return met.groupBy("query_id", "scope", "chunk_id").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score")).where("score > 0")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _dense_row(cells: pd.Series, weights: pd.Series, dimensions: pd.Series) -> pd.Series:
+    return pd.Series([np.bincount(c, w, n) for c, w, n in zip(cells, weights, dimensions)])
+
+
 def _folded(terms_of: DataFrame, keys: list[str], corpus: Corpus, dimensions: int) -> DataFrame:
-    """rows(keys, term, tf) -> (keys, vector): tf x idf summed over hashed dimensions."""
+    """rows(keys, term, tf) -> (keys, vector): tf x idf summed over hashed dimensions, in the order of the terms."""
     cell = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("int"), F.lit(dimensions))
-    cells = terms_of.join(corpus.idf, "term").groupBy(*keys, cell.alias("cell")).agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
-    rows = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("m"))  # at most `dimensions` entries
-    return rows.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+    weights = corpus.idf.select("term", "idf", cell.alias("cell"))
+    listed = F.array_sort(F.collect_list(F.struct("term", "cell", (F.col("tf") * F.col("idf")).alias("w")))).alias("t")  # the terms of one text
+    rows = terms_of.join(weights, "term").groupBy(*keys).agg(listed)
+    return rows.select(*keys, _dense_row(F.col("t.cell"), F.col("t.w"), F.lit(dimensions)).alias("vector"))
 
 
 def hashed_vectors(corpus: Corpus, queries: DataFrame, dimensions: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -121,25 +128,29 @@ BLOCK_ROWS = 2_000
 
 
 def _blocks(rows: DataFrame, id_col: str) -> DataFrame:
-    """(scope, block, n_blocks, ids, vectors): the vectors of a scope in blocks of about BLOCK_ROWS."""
+    """(scope, block, n_blocks, ids, values): the vectors of a scope in blocks of about BLOCK_ROWS, their components in one array."""
     rows = rows.where("vector is not null and scope is not null").select("scope", id_col, F.col("vector").cast("array<double>").alias("vector"))
     sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks"))
     placed = rows.join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64(id_col), F.col("n_blocks")).cast("int"))
-    return placed.groupBy("scope", "block", "n_blocks").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "vector")).alias("rows"))
+    rows = placed.groupBy("scope", "block", "n_blocks").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "vector")).alias("rows"))
+    return rows.select("scope", "block", "n_blocks", F.col("rows.id").alias("ids"), F.flatten("rows.vector").alias("values"))
 
 
 def _block_products(k):
     def run(batches):
         for pdf in batches:
-            for qs, vs in zip(pdf["q"], pdf["v"]):
-                a, b = (np.stack([r["vector"] for r in x]).astype(np.float64) for x in (qs, vs))
-                ids = np.array([r["id"] for r in vs])
+            asked, found, cosines = [], [], []
+            for q_ids, q_values, ids, values in zip(pdf["q_ids"], pdf["q_values"], pdf["v_ids"], pdf["v_values"]):
+                a, b = (np.asarray(x, dtype=np.float64).reshape(len(i), -1) for x, i in ((q_values, q_ids), (values, ids)))
                 a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
                 by_id = np.argsort(ids, kind="stable")
                 cos = np.round(a @ b.T, 9)[:, by_id]
-                ids = ids[by_id]
                 first = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # ties to the smaller id
-                yield pd.DataFrame({"query_id": np.repeat(np.array([r["id"] for r in qs]), first.shape[1]), "item_id": ids[first].ravel(), "cosine": np.take_along_axis(cos, first, axis=1).ravel()})
+                asked.append(np.repeat(np.asarray(q_ids), first.shape[1]))
+                found.append(np.asarray(ids)[by_id][first].ravel())
+                cosines.append(np.take_along_axis(cos, first, axis=1).ravel())
+            if asked:
+                yield pd.DataFrame({"query_id": np.concatenate(asked), "item_id": np.concatenate(found), "cosine": np.concatenate(cosines)})
 
     return run
 
@@ -153,8 +164,8 @@ def block_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """
     v = _blocks(vectors, "item_id")
     counts = v.select("scope", "n_blocks").distinct()
-    q = _blocks(queries, "query_id").select("scope", F.col("rows").alias("q")).join(counts, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
-    pairs = q.join(v.select("scope", "block", F.col("rows").alias("v")), ["scope", "block"]).select("q", "v")
+    q = _blocks(queries, "query_id").select("scope", F.col("ids").alias("q_ids"), F.col("values").alias("q_values")).join(counts, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+    pairs = q.join(v.select("scope", "block", F.col("ids").alias("v_ids"), F.col("values").alias("v_values")), ["scope", "block"]).select("q_ids", "q_values", "v_ids", "v_values")
     kinds = dict(queries.dtypes) | dict(vectors.dtypes)
     return top(pairs.mapInPandas(_block_products(k), f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double"), k, "cosine", item="item_id")
 

@@ -28,7 +28,7 @@ def _evidence(s, d):
     first = b.groupBy("block_id").agg(F.min(F.struct("ingested_at", "document_id", "text_normalized")).alias("x"))
     q = written(first.select(F.col("block_id").alias("query_id"), canonical_id(F.col("x.document_id")).alias("scope"), F.col("x.text_normalized").alias("question")), "evidence")
     gold = containment(q.select(F.col("query_id").alias("evidence_id"), "scope", F.col("question").alias("text")), _chunks(s, d))
-    return q, gold.select(F.col("evidence_id").alias("query_id"), "chunk_id", F.lit("ANY").alias("logic"))
+    return q, written(gold.select(F.col("evidence_id").alias("query_id"), "chunk_id", F.lit("ANY").alias("logic")), "gold")
 
 
 def _bm25(s, d):
