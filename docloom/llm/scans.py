@@ -16,6 +16,9 @@ bounded size spares work; the joins decide, so its size never changes a row.  No
 depends on a count of its own: frequencies are compared with each other, shares are
 shrunk towards the corpus.
 
+A heading is one line of 3 to 60 characters (70 with what scanning adds); a single
+character is no word to link.
+
 Results by case: null and blank texts have no noise; a text of any length is read
 whole; records delivered again count once; deleted blocks count; a block without
 document takes it from its block_id; an occurrence without neighbours is decided by its
