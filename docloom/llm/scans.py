@@ -70,6 +70,7 @@ MARKED = re.compile(r"^\s*(?:[-–·•*▪◦○●□■◇◆ㅇ※]|[가-하
 DIGIT = re.compile(r"\d")
 #: Letters that scanners take for digits.
 FOR_DIGITS = str.maketrans("OoDlIiSsBZzgq", "0" * 13)
+AS_DIGITS = str.maketrans("OoDlIiSsBZzgq", "0001115582299")
 
 
 def clean_word(token: str) -> str:
@@ -819,8 +820,12 @@ def _fixed(token: str, to: str) -> str:
     core = token.strip(EDGE)
     if not core:
         return token
-    digits = iter([c for c in core.translate(str.maketrans("OoDlIiSsBZzgq", "0001115582299")) if c.isdigit()]) if "0" in to else iter(())
-    return token.replace(core, "".join(next(digits, c) if c == "0" else c for c in to), 1)
+    if len(core) == len(to):  # place by place: a digit, or the digit that a letter was taken for
+        mended = "".join(x.translate(AS_DIGITS) if c == "0" else c for c, x in zip(to, core))
+    else:
+        digits = iter(DIGIT.findall(core))
+        mended = "".join(next(digits, c) if c == "0" else c for c in to)
+    return token.replace(core, mended, 1)
 
 
 def repaired_records(documents: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -207,6 +207,11 @@ def test_p3_occurrences_are_decided_by_their_context(spark, monkeypatch):
     assert kinds() == {"D68", "D69"}
 
 
+def test_p3_corrections_keep_the_digits_of_a_number():
+    assert scans._fixed("(SFR-O01)", "SFR-000") == "(SFR-001)" and scans._fixed("2O26년,", "0000년") == "2026년," and scans._fixed("l,5S0명", "0,000명") == "1,550명"
+    assert scans._fixed("예산올.", "예산을") == "예산을." and scans._fixed("rnanual2", "manual0") == "manual2" and scans._fixed("점검하-\n여아", "점검하여야") == "점검하여야"
+
+
 def test_p3_filter_size_changes_no_row(spark):
     rng = random.Random(9)
     texts = scanned(rng, 40) + ["수행사는 예산올 배정한다. 감독관은 예산을 승인한다.\n\n- 1 -", "담당자는 사업올 시작한다. 감독관은 예산올 승인한다.", "깨끗한 글이다."]
