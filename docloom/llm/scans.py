@@ -796,8 +796,8 @@ def repaired_text(text: str, headings: list[str], fixes: dict[tuple[int, str], s
             continue
         if not x and after_page:
             continue
-        if after_page and lines and x and re.search(r"[.!?]$|[함음임것됨]$", lines[-1]):
-            lines.append("")
+        if after_page and lines and x and (re.search(r"[.!?]$|[함음임것됨]$", lines[-1]) or MARKED.match(lines[-1])):
+            lines.append("")  # a sentence or a list item ends with the page
         after_page = False
         lines.append(x)
     joined = SPLIT_WORD.sub("", "\n".join(lines))

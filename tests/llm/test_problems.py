@@ -212,6 +212,11 @@ def test_p3_corrections_keep_the_digits_of_a_number():
     assert scans._fixed("예산올.", "예산을") == "예산을." and scans._fixed("rnanual2", "manual0") == "manual2" and scans._fixed("점검하-\n여아", "점검하여야") == "점검하여야"
 
 
+def test_p3_paragraphs_go_on_over_pages_unless_a_sentence_or_item_ends():
+    text = "업무 절차를\n- 1 -\n단순화한다.\n\n- 2 -\n\n다음 글이다.\n\n가. 첫째 항목 3부\n\n- 3 -\n\n새 문단을 쓴다."
+    assert scans.repaired_text(text, [], {}) == "업무 절차를 단순화한다.\n\n다음 글이다.\n\n가. 첫째 항목 3부\n\n새 문단을 쓴다."
+
+
 def test_p3_filter_size_changes_no_row(spark):
     rng = random.Random(9)
     texts = scanned(rng, 40) + ["수행사는 예산올 배정한다. 감독관은 예산을 승인한다.\n\n- 1 -", "담당자는 사업올 시작한다. 감독관은 예산올 승인한다.", "깨끗한 글이다."]
