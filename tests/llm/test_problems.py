@@ -378,6 +378,25 @@ def test_p4_known_parents_are_those_that_scoring_gives(spark, monkeypatch):
     assert links() == pruned and len(pruned) > 100 and {r["conv_id"] for r in threads.broken(h, c).collect()} == dropped
 
 
+def test_p4_scores_are_taken_only_where_they_change_rows(spark, monkeypatch):
+    """Recorded conversations are linked without candidates; where none is recorded, the score chooses the trees."""
+    h, c = two_talks(spark)
+
+    def scored(*args):
+        raise AssertionError("scored, though no row depends on it")
+
+    monkeypatch.setattr(threads, "_candidates", scored)
+    assert {r["conv_id"] for r in threads.broken(h, c).collect()} == {3}
+    kept = {(r["conv_id"], r["position"], r["chat_id"], r["parent_id"]) for r in threads.conversations(h, c).collect()}
+    assert kept == {(1, 1, 1, None), (1, 2, 2, 1), (2, 1, 3, None), (2, 2, 4, 3)}
+    monkeypatch.undo()
+    rows = [(1, "D", "검수 조서는 언제 내나요", "2026-01-01 00:00:00", "USER", 1), (2, "D", "예산 분석 비용은 얼마인가요", "2026-01-01 00:00:05", "USER", 1), (3, "D", "검수 조서는 3일 안에 냅니다", "2026-01-01 00:00:20", "BOT", 1)]
+    parents = lambda: {r["id"]: r["parent_id"] for r in threads.channel_threads(spark.createDataFrame(rows, CHAT)).collect()}
+    assert parents() == {1: None, 2: None, 3: 1}
+    monkeypatch.setattr(threads, "W_OVERLAP", 0.0)
+    assert parents() == {1: None, 2: None, 3: 2}
+
+
 def test_p4_candidates_beyond_reach_cannot_win():
     assert threads.W_STEP * np.log1p(threads.REACH) >= threads.W_MENTION + threads.W_OVERLAP
 
